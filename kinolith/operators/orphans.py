@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kinolith.functions.clean import epoch_micros, key_of, month_of
 from kinolith.operators.skew import lookup_join
@@ -87,7 +87,9 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
         epoch_micros(F.col(ref.child_time)).alias("t"),
     )
     rows = rows.withColumn("rec", F.coalesce("record_id", F.concat(F.lit("\u0000"), "ref_key")))
-    pairs = rows.where("ref_key is not null").groupBy("rec", "record_id", "ref_key").agg(F.min("t").alias("t"))
+    pairs = rows.groupBy("rec", "record_id", "ref_key").agg(F.min("t").alias("t"))
+    # the earliest time of a record may stand on a row that holds another key or none
+    pairs = pairs.withColumn("t", F.min("t").over(Window.partitionBy("rec"))).where("ref_key is not null")
 
     removed = F.col(ref.parent_removed).isNotNull() if ref.parent_removed else F.lit(False)
     targets = parent.select(
@@ -102,10 +104,7 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
     definite = probed.where(~F.col("maybe")).select(*shape, F.lit("missing").alias("reason"))
 
     known = targets.groupBy("ref_key").agg(F.min("target_t").alias("target_t"), F.max("removed").alias("removed"))
-    # the earliest time of a record may stand on a row that holds another key or none
-    times = rows.where("record_id is not null and t is not null").groupBy("rec").agg(F.min("t").alias("first_t"))
-    positive = probed.where("maybe").join(times, "rec", "left").withColumn("t", F.coalesce("first_t", "t"))
-    checked = lookup_join(positive.select("record_id", "ref_key", "t"), known, "ref_key")
+    checked = lookup_join(probed.where("maybe").select("record_id", "ref_key", "t"), known, "ref_key")
     reason = (
         F.when(F.col("removed").isNull(), "missing")
         .when(F.col("removed"), "removed")
