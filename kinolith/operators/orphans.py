@@ -76,8 +76,9 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
 
     Null, blank and "nothing" keys are no references. Repeated rows of a record count once, at
     their earliest time; a record with several keys yields one row per key. Rows without an id
-    are told apart by their key only. Null times never make a target younger. Empty tables give
-    no rows (no child) or missing targets only (no parent).
+    can't be told to be repeated, so each is a reference of its own, at its own time. Null times
+    never make a target younger. Empty tables give no rows (no child) or missing targets only (no
+    parent).
     """
     spark = child.sparkSession
     key = key_of(F.col(ref.column), ref.folders)
@@ -86,10 +87,10 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
         key.alias("ref_key"),
         epoch_micros(F.col(ref.child_time)).alias("t"),
     )
-    rows = rows.withColumn("rec", F.coalesce("record_id", F.concat(F.lit("\u0000"), "ref_key")))
-    pairs = rows.groupBy("rec", "record_id", "ref_key").agg(F.min("t").alias("t"))
+    pairs = rows.where("record_id is not null").groupBy("record_id", "ref_key").agg(F.min("t").alias("t"))
     # the earliest time of a record may stand on a row that holds another key or none
-    pairs = pairs.withColumn("t", F.min("t").over(Window.partitionBy("rec"))).where("ref_key is not null")
+    pairs = pairs.withColumn("t", F.min("t").over(Window.partitionBy("record_id")))
+    pairs = pairs.unionByName(rows.where("record_id is null")).where("ref_key is not null")
 
     removed = F.col(ref.parent_removed).isNotNull() if ref.parent_removed else F.lit(False)
     targets = parent.select(

@@ -25,6 +25,18 @@ def test_month_of_an_orphan_does_not_depend_on_the_filter(spark, monkeypatch):
     assert months["pass all"] == months["filter"]
 
 
+def test_each_row_without_an_id_is_a_reference(spark):
+    child = spark.createDataFrame(
+        [(None, "gone", JAN), (None, "gone", JAN), (None, "gone", MAR), (None, "here", MAR), (None, None, JAN), ("a", "gone", JAN), ("a", "gone", JAN)],
+        CHILD,
+    )
+    parent = spark.createDataFrame([("here", JAN)], PARENT)
+    resolved = orphans.resolve(child, parent, REF)
+    found = sorted((r.month, r.n_refs, r.n_orphans) for r in orphans.orphan_counts(resolved).collect())
+    assert found == [("2024-01", 3, 3), ("2024-03", 2, 1)]
+    assert sorted(str(r.record_id) for r in resolved.where("is_orphan").collect()) == ["None", "None", "None", "a"]
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p1_orphans_by_month"])
 def test_given_tables_agree_with_the_sql_twin(spark, name):
     import duckdb
