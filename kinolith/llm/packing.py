@@ -128,12 +128,11 @@ def sized_documents(documents: DataFrame, capacities: list[int], folder: str = T
 def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """Every text of ``documents`` in containers of every capacity of ``packs``.
 
-    Columns: pack_name, container_id, doc_id, part_no, n_parts, n_tokens, text. A document is cut
+    Columns: pack_name, capacity, container_id, doc_id, part_no, n_parts, n_tokens, text. A document is cut
     only where it is larger than the capacity, at token borders; its parts joined by part_no are
     the text. Null and empty texts have no tokens and lie in container 0. Repeated rows and equal
     sizes are placed row by row. Packs with a null or non-positive capacity are left out; packs of
-    one name with several capacities stay apart by their capacity in the plan and share the name.
-    An empty table gives no rows.
+    one name with several capacities stay apart by their capacity. An empty table gives no rows.
     """
     spark = documents.sparkSession
     wanted = packs.where("capacity > 0").select("pack_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
@@ -173,17 +172,16 @@ def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name:
     placed = placed.select("row_no", "capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char", container.alias("container_id"))
     full = placed.join(sized.select("row_no", "doc_id", "text"), "row_no").join(F.broadcast(spark.createDataFrame([(r.pack_name, r.capacity) for r in held], "pack_name string, capacity int")), "capacity")
     text = F.substring(F.col("text"), F.col("from_char") + 1, F.col("to_char") - F.col("from_char"))
-    return full.select("pack_name", "container_id", "doc_id", "part_no", "n_parts", "n_tokens", text.alias("text"))
+    return full.select("pack_name", "capacity", "container_id", "doc_id", "part_no", "n_parts", "n_tokens", text.alias("text"))
 
 
-def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:
-    """Containers, parts, tokens and the share of room used per pack."""
-    found = packed.groupBy("pack_name").agg(
+def fill_report(packed: DataFrame) -> DataFrame:
+    """Containers, parts, tokens and the share of room used per pack and capacity."""
+    found = packed.groupBy("pack_name", "capacity").agg(
         (F.max("container_id") + 1).alias("n_containers"),
         F.count("*").alias("n_parts_placed"),
         F.count_if(F.col("n_parts") > 1).alias("n_split_parts"),
         F.sum("n_tokens").alias("n_tokens"),
     )
-    joined = found.join(packs.groupBy("pack_name").agg(F.max("capacity").alias("capacity")), "pack_name")
     share = F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * F.col("capacity"))
-    return joined.withColumn("fill", F.round(share, 6))
+    return found.withColumn("fill", F.round(share, 6))

@@ -19,7 +19,7 @@ def p7_containers(spark, sf):
 
 
 def p7_fill(spark, sf):
-    return packing.fill_report(p7_containers(spark, sf), table(spark, sf, "pack_sizes"))
+    return packing.fill_report(p7_containers(spark, sf))
 
 
 QUERIES = {

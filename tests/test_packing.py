@@ -1,0 +1,26 @@
+"""Containers and the fill report on small tables."""
+
+from collections import Counter
+
+from kinolith.llm import packing
+
+DOCUMENTS = [(i, "the actor walks to the park " * (i % 4 + 1)) for i in range(24)] + [(24, None)]
+
+
+def test_packs_of_one_name_stay_apart_by_capacity(spark):
+    documents = spark.createDataFrame(DOCUMENTS, "doc_id bigint, text string")
+    packs = spark.createDataFrame([("ctx", 32), ("ctx", 64)], "pack_name string, capacity int")
+    packed = packing.pack(documents, packs)
+    rows = packed.collect()
+    assert {r.capacity for r in rows} == {32, 64}
+    held, tokens = Counter(), Counter()
+    for r in rows:
+        held[r.capacity, r.container_id] += r.n_tokens
+        tokens[r.capacity] += r.n_tokens
+    assert all(n <= capacity for (capacity, _), n in held.items())
+    report = {r.capacity: r for r in packing.fill_report(packed).collect()}
+    for capacity in (32, 64):
+        n = sum(c == capacity for c, _ in held)
+        assert report[capacity].n_containers == n
+        assert report[capacity].n_tokens == tokens[capacity]
+        assert abs(report[capacity].fill - tokens[capacity] / (n * capacity)) < 1e-6
