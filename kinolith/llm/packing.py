@@ -6,8 +6,10 @@ gaps are served by rank; the gaps shrink, and the next round sweeps over the new
 fits, as many containers open as the rest needs at least, for the largest items.
 
 Sizes are whole tokens up to the capacity, so all items of one size behave alike and the sweep
-works on (size, count) and (gap, container range) classes: at most ``capacity`` of each, however
-many documents there are. The rounds decide ranges of ranks; the documents themselves are ranked
+works on (size, count) classes, at most ``capacity`` of them, and on gaps that each hold a list of
+container ranges. A container lies in one range at a time, so there are never more gap ranges than
+containers; a decided range places an item at least, so there are at most as many as items. The
+sweeps run on the driver. The rounds decide ranges of ranks; the documents themselves are ranked
 and matched with the ranges in Spark.
 """
 
