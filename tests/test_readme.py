@@ -31,3 +31,10 @@ def test_ranges_are_no_more_than_the_parts():
     for size, n in counts.items():
         ranks = sorted((a, b) for s, a, b, _ in ranges if s == size)
         assert [r for a, b in ranks for r in range(a, b)] == list(range(n))
+
+
+def test_readme_lists_the_missing_reference_operators():
+    with open(os.path.join(ROOT, "README.md"), encoding="utf-8") as file:
+        text = file.read()
+    assert "### Missing operators of the reference" in text
+    assert all(f"(2.{n})" in text for n in range(1, 13))
