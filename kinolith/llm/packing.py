@@ -28,7 +28,9 @@ from kinolith.session import through_table
 MAX_CAPACITY = 1 << 20
 #: A size class is ranked in so many parts, as one size may hold a third of all rows.
 RANK_PARTS = 64
-#: Ranges up to this many are broadcast, beyond they are joined by a shuffle.
+#: Ranks are matched with ranges in blocks of this many, so a hot size is spread over its blocks.
+RANK_BLOCK = 1024
+#: Ranges, counted once a block, up to this many are broadcast, beyond they are joined by a shuffle.
 BROADCAST_RANGES = 100_000
 
 
@@ -127,6 +129,13 @@ def sized_documents(documents: DataFrame, capacities: list[int], folder: str = T
     )
 
 
+def candidates(ranked: DataFrame, plan: DataFrame, broadcast: bool = True) -> DataFrame:
+    """Every item of ``ranked`` with the ranges of its size that reach into its block of ranks."""
+    blocks = plan.withColumn("block", F.explode(F.expr(f"sequence(rank_from div {RANK_BLOCK}, (rank_to - 1) div {RANK_BLOCK})")))
+    items = ranked.withColumn("block", F.expr(f"rank div {RANK_BLOCK}"))
+    return items.join(F.broadcast(blocks) if broadcast else blocks, ["capacity", "n_tokens", "block"])
+
+
 def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """Every text of ``documents`` in containers of every capacity of ``packs``.
 
@@ -150,7 +159,8 @@ def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name:
     for r in items.groupBy("capacity", "n_tokens").count().collect():
         counts[r.capacity][r.n_tokens] = r["count"]
     ranges = [(c, *r) for c in capacities for r in plan_best_fit(counts[c], c)]
-    ranges += [(c, 0, 0, 1 << 62, -1) for c in capacities]
+    ranges += [(c, 0, 0, counts[c][0], -1) for c in capacities if 0 in counts[c]]
+    n_blocks = sum((r[3] - 1) // RANK_BLOCK - r[2] // RANK_BLOCK + 1 for r in ranges)
     plan = spark.createDataFrame(
         pa.Table.from_arrays(
             [pa.array(x, t) for x, t in zip(zip(*ranges), [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
@@ -168,8 +178,7 @@ def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name:
     offsets = sizes.select(*klass, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     local = F.row_number().over(Window.partitionBy(*klass).orderBy("row_no", "part_no")) - 1
     ranked = items.withColumn("local", local).join(offsets, klass).withColumn("rank", F.col("offset") + F.col("local"))
-    small = F.broadcast(plan) if len(ranges) <= BROADCAST_RANGES else plan
-    placed = ranked.join(small, ["capacity", "n_tokens"]).where("rank >= rank_from and rank < rank_to")
+    placed = candidates(ranked, plan, n_blocks <= BROADCAST_RANGES).where("rank >= rank_from and rank < rank_to")
     container = F.when(F.col("container_from") < 0, 0).otherwise(F.col("container_from") + F.col("rank") - F.col("rank_from"))
     placed = placed.select("row_no", "capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char", container.alias("container_id"))
     full = placed.join(sized.select("row_no", "doc_id", "text"), "row_no").join(F.broadcast(spark.createDataFrame([(r.pack_name, r.capacity) for r in held], "pack_name string, capacity int")), "capacity")

@@ -24,3 +24,28 @@ def test_packs_of_one_name_stay_apart_by_capacity(spark):
         assert report[capacity].n_containers == n
         assert report[capacity].n_tokens == tokens[capacity]
         assert abs(report[capacity].fill - tokens[capacity] / (n * capacity)) < 1e-6
+
+
+def test_a_hot_size_meets_only_the_ranges_of_its_block(spark):
+    block = packing.RANK_BLOCK
+    edges = [0, *range(1, block), 3 * block + 5, 3 * block + 6, 4 * block]
+    plan = spark.createDataFrame(
+        [(64, 7, a, b, 10 * a) for a, b in zip(edges, edges[1:])],
+        "capacity int, n_tokens int, rank_from bigint, rank_to bigint, container_from bigint",
+    )
+    ranked = spark.range(4 * block).selectExpr("64 AS capacity", "7 AS n_tokens", "id AS rank")
+    for broadcast in (True, False):
+        pairs = packing.candidates(ranked, plan, broadcast)
+        assert pairs.count() == block * (block + 1 + 1 + 3)  # ranges in each of the four blocks
+        assert pairs.where("rank >= rank_from and rank < rank_to").select("rank").distinct().count() == 4 * block
+        assert pairs.where("rank >= rank_from and rank < rank_to").count() == 4 * block
+
+
+def test_more_blocks_than_are_broadcast_and_an_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_RANGES", 0)
+    monkeypatch.setattr(packing, "RANK_BLOCK", 2)
+    schema = "doc_id bigint, text string"
+    packs = spark.createDataFrame([("ctx", 32)], "pack_name string, capacity int")
+    rows = packing.pack(spark.createDataFrame(DOCUMENTS, schema), packs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(25))
+    assert packing.pack(spark.createDataFrame([], schema), packs).collect() == []
