@@ -1,11 +1,48 @@
-"""Queries of the language-model problems: token ids, containers of fixed capacity."""
+"""Queries of the language-model problems."""
 
 from __future__ import annotations
 
-from kinolith.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from kinolith.llm import bpe, overlap, packing, truncation
 from kinolith.sources.tables import table
 
 
+def _outputs(spark, sf):
+    """Model outputs of both tables with their source."""
+    parts = [
+        table(spark, sf, name, "row_id", source, "raw").select(
+            F.lit(name).alias("src_table"), "row_id", F.col(source).alias("source"), "raw"
+        )
+        for name, source in (("out_of_distribution", "label"), ("clause_probe3", "ckpt"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark, sf):
+    return truncation.truncated(_outputs(spark, sf)).select("src_table", "row_id")
+
+
+def p4_rates(spark, sf):
+    return truncation.truncation_rates(_outputs(spark, sf))
+
+
+def _suites(spark, sf):
+    return overlap.suites(*((t, table(spark, sf, t, "item_id", "prompt")) for t in ("ood_prompts", "ood_spatial")))
+
+
+def _overlaps(spark, sf):
+    return overlap.overlaps(_suites(spark, sf), table(spark, sf, "scene_train", "pair_id", "origin", "prompt"))
+
+
+def p5_found(spark, sf):
+    return _overlaps(spark, sf).select("eval_table", "item_id", "pair_id")
+
+
+def p5_overlap_report(spark, sf):
+    return overlap.overlap_report(_overlaps(spark, sf), _suites(spark, sf))
+
+
 def p6_ids(spark, sf):
     return bpe.token_ids(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -23,11 +60,36 @@ def p7_fill(spark, sf):
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
+    "p5_found": p5_found,
+    "p5_overlap_report": p5_overlap_report,
     "p6_ids": p6_ids,
     "p6_token_report": p6_token_report,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
 }
 
-#: The merges and the sweeps have no SQL twin; the tests compare with the public tokenizer.
-ORACLE: dict = {}
+#: Twin of p4: the structural rule alone, over all outputs, without trigrams.
+_TRUNCATED = r"""WITH o AS (SELECT 'out_of_distribution' AS src_table, row_id, label AS source, raw FROM out_of_distribution
+  UNION ALL SELECT 'clause_probe3', row_id, ckpt, raw FROM clause_probe3),
+ c AS (SELECT DISTINCT src_table, row_id, string_split_regex(trim(regexp_replace(regexp_replace(lower(raw),
+   '(\s|\.\.+|…|�|\[[^\]|;]*\]|<[^>|;]*>)+$', ''), '([|;])', ' \1 ', 'g')), '\s+') AS w
+  FROM o WHERE regexp_replace(raw, '\s', '', 'g') <> ''),
+ v AS (SELECT x, count(*) AS n FROM (SELECT unnest(w[:-2]) AS x FROM c) WHERE regexp_full_match(x, '[a-z]+') GROUP BY x),
+ e AS (SELECT *, list_contains(w, 'tl') AS tl,
+   coalesce(list_position(list_reverse(list_transform(w, lambda x: x IN (';', '|', 'tl'))), true) - 1, len(w)) AS n_last FROM c),
+ k AS (SELECT e.src_table, e.row_id FROM e LEFT JOIN v own ON own.x = e.w[-1]
+  WHERE NOT tl OR n_last < 4 OR (regexp_full_match(e.w[-1], '[a-z]+')
+   AND EXISTS (SELECT 1 FROM v WHERE starts_with(v.x, e.w[-1]) AND v.x <> e.w[-1] AND v.n > 20 * coalesce(own.n, 0) AND v.n > 2)))
+"""
+
+#: The merges, sweeps and similarities have no SQL twin; the tests compare with the public
+#: tokenizer and with brute force.
+ORACLE: dict = {
+    "p4_found": _TRUNCATED + "SELECT DISTINCT src_table, row_id FROM k",
+    "p4_rates": _TRUNCATED
+    + """SELECT src_table, source, count(*) AS n_outputs, count(k.row_id) AS n_truncated,
+ round(count(k.row_id) / count(*), 6) AS share FROM (SELECT DISTINCT src_table, row_id, source FROM o)
+ LEFT JOIN (SELECT DISTINCT * FROM k) k USING (src_table, row_id) GROUP BY ALL""",
+}
