@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinolith.llm import bpe, overlap, packing, truncation
+from kinolith.llm import bpe, conversations, overlap, packing, truncation
 from kinolith.sources.tables import table
 
 
+def _verdicts(spark, sf):
+    found = conversations.rebuild(spark, f"{sf}/messages.parquet")
+    return conversations.verdicts(found, table(spark, sf, "messages", "chat_id"), table(spark, sf, "chats", "id"))
+
+
+def p3_found(spark, sf):
+    return _verdicts(spark, sf).where("flaw IS NOT NULL").select("chat_id")
+
+
+def p3_flaws(spark, sf):
+    return _verdicts(spark, sf).groupBy("flaw").agg(F.count("*").alias("n_chats"), F.sum("n_turns").alias("n_turns"))
+
+
+def p3_conversations(spark, sf):
+    return conversations.conversations(conversations.rebuild(spark, f"{sf}/messages.parquet", contents=True))
+
+
 def _outputs(spark, sf):
     """Model outputs of both tables with their source."""
     parts = [
@@ -60,6 +77,9 @@ def p7_fill(spark, sf):
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_flaws": p3_flaws,
+    "p3_conversations": p3_conversations,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
     "p5_found": p5_found,
