@@ -10,6 +10,7 @@ can't belong to a pair; the others are verified word by word.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections import Counter
 
@@ -23,7 +24,9 @@ PASSAGE = 3
 #: Share of the longer prompt's words that may differ.
 DIFFER = 5  # a fifth
 #: Characters of evaluation prompts in a shard and of training prompts in a block, on average.
-SHARD_CHARS, BLOCK_CHARS = 2_000_000, 6_000_000
+SHARD_CHARS, BLOCK_CHARS = 8_000_000, 6_000_000
+#: Share of a prompt's distinct words that may be missing, slips included, before words are paired.
+MISSING = 3  # a third
 
 #: Number words.
 UNITS = (
@@ -87,7 +90,7 @@ def differing(a: list[str], b: list[str]) -> int:
     held, other = Counter(a), Counter(b)
     only_a, only_b = list((held - other).elements()), list((other - held).elements())
     more = max(len(a), len(b))
-    if max(len(only_a), len(only_b)) * 1 > more // 2:
+    if max(len(only_a), len(only_b)) > more // 2:
         return max(len(only_a), len(only_b))
     matched = 0
     for x in only_a:
@@ -105,7 +108,7 @@ class Shard:
     def __init__(self, prompts: list[str]) -> None:
         import ahocorasick
 
-        self.words = [words_of(p) for p in prompts]
+        self.words = [list(map(sys.intern, words_of(p))) for p in prompts]
         postings: dict[str, list[int]] = {}
         for e, words in enumerate(self.words):
             if words:
@@ -119,6 +122,15 @@ class Shard:
             self.automaton.make_automaton()
         self.n_words = np.array([len(w) for w in self.words])
         self.n_passages = np.maximum(1, self.n_words // PASSAGE)
+        self.distinct = [frozenset(w) for w in self.words]
+        # the least coverage that any training prompt of fitting length could need
+        self.least = self._least(self.n_words, self.n_passages, self.n_words * DIFFER // (DIFFER - 1) + 1)
+        self.least[self.n_words == 0] = np.iinfo(np.int64).max
+
+    @staticmethod
+    def _least(n_words: np.ndarray, n_passages: np.ndarray, other: int | np.ndarray) -> np.ndarray:
+        """Passages that must be found; a tenth of them more may be lost, to slips beside other changes."""
+        return np.maximum(1, n_passages - np.maximum(n_words, other) // DIFFER - n_passages // 10)
 
     def scan(self, text: str) -> list[tuple[int, float, int]]:
         """(prompt, covered share of its passages, differing words) of each pair with ``text``."""
@@ -129,15 +141,19 @@ class Shard:
         if not hit:
             return []
         covered = np.bincount(np.concatenate([self.postings[k] for k in hit]), minlength=len(self.words))
-        longer = np.maximum(self.n_words, len(words))
-        # a tenth of the passages more may be lost, to slips beside other changes
-        least = np.maximum(1, self.n_passages - longer // DIFFER - self.n_passages // 10)
-        close = (covered >= least) & (np.abs(self.n_words - len(words)) * DIFFER <= longer) & (self.n_words > 0)
-        found = []
-        for e in np.flatnonzero(close):
+        found, held = [], frozenset(words)
+        some = np.flatnonzero(covered >= self.least)
+        some = some[covered[some] >= self._least(self.n_words[some], self.n_passages[some], len(words))]
+        for e in some.tolist():
+            longer = max(len(self.words[e]), len(words))
+            if abs(len(self.words[e]) - len(words)) * DIFFER > longer:
+                continue
+            distinct = self.distinct[e]
+            if len(distinct - held) * MISSING > len(distinct):
+                continue
             d = differing(self.words[e], words)
-            if d * DIFFER <= longer[e]:
-                found.append((int(e), float(covered[e] / self.n_passages[e]), d))
+            if d * DIFFER <= longer:
+                found.append((e, float(covered[e] / self.n_passages[e]), d))
         return found
 
 
