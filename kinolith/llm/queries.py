@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinolith.llm import bpe, conversations, overlap, packing, truncation
+from kinolith.llm import bpe, conversations, overlap, packing, privacy, truncation
 from kinolith.sources.tables import table
 
 
@@ -76,6 +76,23 @@ def p7_fill(spark, sf):
     return packing.fill_report(p7_containers(spark, sf))
 
 
+def _mentions(spark, sf, **how):
+    documents = table(spark, sf, "documents", "doc_id", "source", "text")
+    return privacy.find(documents, table(spark, sf, "name_list", "word", "name_kind"), **how)
+
+
+def p8_found(spark, sf):
+    return privacy.mention_rows(_mentions(spark, sf))
+
+
+def p8_masked(spark, sf):
+    return _mentions(spark, sf, masked=True).select("doc_id", "text")
+
+
+def p8_mention_report(spark, sf):
+    return privacy.mention_report(_mentions(spark, sf, keep=("source",)))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_flaws": p3_flaws,
@@ -88,6 +105,9 @@ QUERIES = {
     "p6_token_report": p6_token_report,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_masked": p8_masked,
+    "p8_mention_report": p8_mention_report,
 }
 
 #: Twin of p4: the structural rule alone, over all outputs, without trigrams.
