@@ -2,7 +2,7 @@
 
 Two streaming queries, as one may hold a single step of this kind; a table joins them. The first, keyed by a hash of the message id, knows
 every id's earliest time: it passes a message on once, and once more only if an earlier time turns
-up later. The second, keyed by chat and hour, buffers the hour's messages in its state while the
+up later. The second, keyed by a hash of chat and hour, buffers the hour's messages in its state while the
 event-time watermark has not passed them by the allowed delay; on this timeout, or when a closing
 mark ends the stream, it orders the turns, drops repeats, checks that the speakers alternate and
 emits the hour as one segment. A row that comes after its hour was closed opens the hour again and
@@ -30,7 +30,7 @@ from kinolith.session import scratch_path
 SLOT, REPEAT = 3_600_000_000, 2_000_000
 #: Event time by which a message may come late before its hour is closed.
 DELAY = "1 hour"
-#: Message rows of one state of the first step, on average.
+#: Message rows of one state of either step, on average.
 BUCKET_ROWS = 20_000
 
 #: Spellings of the roles, in lower case.
@@ -108,32 +108,40 @@ def flaw_of(turns: list[tuple]) -> str | None:
     return None
 
 
-def _segment(chat: str, slot: int | None, part: int, amended: bool, rows: list[tuple]) -> pd.DataFrame:
+def _segment(chat: str, slot: int | None, part: int, amended: bool, rows: list[tuple]) -> tuple:
     """One row of ``_SEGMENT``."""
     turns = ordered_turns(rows, slot)
     ends = (turns[0][1], turns[-1][1]) if turns else (None, None)
     held = [{"t": t, "speaker": w, "id": i, "content": c} for t, w, i, c in turns]
-    row = (chat, slot, part, amended, len(turns), flaw_of(turns), *ends, held)
-    return pd.DataFrame([row], columns=_SEGMENT_COLUMNS).astype({"slot": "Int64"})
+    return (chat, slot, part, amended, len(turns), flaw_of(turns), *ends, held)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_SEGMENT_COLUMNS).astype({"slot": "Int64"})
 
 
 def _segments(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buffer a chat's hour; on its timeout emit it as a segment."""
-    chat, slot = key[0], None if pd.isna(key[1]) else int(key[1])
-    part, amended, rows = pickle.loads(state.get[0]) if state.exists else (0, False, [])
+    """Buffer chat hours; emit each as a segment once the watermark has passed it."""
+    hours: dict = pickle.loads(state.get[0]) if state.exists else {}
     if not state.hasTimedOut:
         for chunk in chunks:
             for r in chunk.itertuples(index=False):
-                rows.append((None if pd.isna(r.t) else int(r.t), r.speaker, r.id, r.content))
-                amended = amended or bool(r.amended)
-        state.update((pickle.dumps((part, amended, rows)),))
-        end = 0 if slot is None else (slot + 1) * SLOT // 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        return
-    if rows:
-        yield _segment(chat, slot, part, amended or part > 0, rows)
-    # the hour stays known, so that a later row is told to amend it
-    state.update((pickle.dumps((part + 1, False, [])),))
+                hour = hours.setdefault((r.chat_id, None if pd.isna(r.slot) else int(r.slot)), [0, False, []])
+                hour[1] = hour[1] or bool(r.amended)
+                hour[2].append((None if pd.isna(r.t) else int(r.t), r.speaker, r.id, r.content))
+    now = state.getCurrentWatermarkMs()
+    ends = {k: 0 if k[1] is None else (k[1] + 1) * SLOT // 1000 for k, hour in hours.items() if hour[2]}
+    if state.hasTimedOut:
+        done = [k for k, end in ends.items() if end <= now]
+        if done:
+            yield _frame([_segment(*k, hours[k][0], hours[k][1] or hours[k][0] > 0, hours[k][2]) for k in done])
+        for k in done:
+            # the hour stays known, so that a later row is told to amend it
+            hours[k] = [hours[k][0] + 1, False, []]
+            del ends[k]
+    state.update((pickle.dumps(hours),))
+    if ends:
+        state.setTimeoutTimestamp(max(min(ends.values()), now + 1))
 
 
 def _mark_folder(spark: SparkSession) -> str:
@@ -192,7 +200,8 @@ def segments(messages: DataFrame, n_buckets: int, contents: bool, folder: str) -
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema.fields]
     marks = spark.readStream.schema("mark timestamp").parquet(_mark_folder(spark)).select(*empty, "mark")
     marked = both.where("mark IS NULL OR t IS NOT NULL").unionByName(marks)
-    keyed = marked.withWatermark("mark", DELAY).where("mark IS NULL").groupBy("chat_id", "slot")
+    dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("chat_id", "slot"), F.lit(n_buckets)))
+    keyed = dealt.withWatermark("mark", DELAY).where("mark IS NULL").groupBy("bucket")
     found = keyed.applyInPandasWithState(_segments, _SEGMENT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     _run(found, folder, "segments")
     return spark.read.schema(_SEGMENT).parquet(f"{folder}/segments")
@@ -236,7 +245,7 @@ def _renewed(found: DataFrame) -> DataFrame:
     def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         number = lambda x: None if pd.isna(x) else int(x)
         held = [(number(r.t), r.speaker, r.id, r.content) for r in rows.itertuples(index=False)]
-        return _segment(key[0], number(key[1]), 0, False, held)
+        return _frame([_segment(key[0], number(key[1]), 0, False, held)])
 
     return dealt.groupBy("chat_id", "slot").applyInPandas(again, _SEGMENT)
 
