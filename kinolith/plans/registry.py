@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "corpus")
+MODULES = ("problems", "corpus", "series")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
