@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "corpus", "series")
+MODULES = ("problems", "corpus", "series", "scenes", "vectors")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
