@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 #: Whitespace, separators, control and format characters (byte order mark, zero width space).
 INVISIBLE = r"[\s\p{Z}\p{C}]"
 
-#: Words that stand for "no reference".
+#: Words that stand for "no reference", chosen here; a parameter of the data.
 NOTHING = ("", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "null", "nothing", "undefined", "missing", "void")
 
 
@@ -16,11 +16,6 @@ def strip_invisible(c: Column) -> Column:
     return F.regexp_replace(c, f"^{INVISIBLE}+|{INVISIBLE}+$", "")
 
 
-def has_visible(c: Column) -> Column:
-    """True where the text holds a visible character; null counts as none."""
-    return F.coalesce(F.regexp_replace(c, INVISIBLE, "") != "", F.lit(False))
-
-
 def key_of(c: Column, folders: bool = False) -> Column:
     """Canonical form of a record key, null where it means "nothing".
 

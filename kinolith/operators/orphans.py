@@ -15,9 +15,9 @@ from kinolith.functions.clean import epoch_micros, key_of, month_of
 from kinolith.operators.skew import lookup_join
 from kinolith.sources.tables import table
 
-#: Upper bound of the filter's size (8 MB). Past it the filter saturates: more references are
-#: verified by the join, and the result stays exact.
-MAX_BITS = 64 * 1024 * 1024
+#: Upper bound of what is broadcast (64 MB), enough for 44 million parent keys at the full rate of
+#: bits. With more parents the filter lets more references pass to the join, and the result stays exact.
+MAX_BITS = 512 * 1024 * 1024
 BITS_PER_KEY = 12
 
 
@@ -99,7 +99,7 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
         removed.alias("removed"),
     ).where("ref_key is not null")
 
-    sieve = bloom_bytes(targets, "ref_key", targets.count())
+    sieve = bloom_bytes(targets, "ref_key", parent.count())
     probed = pairs.withColumn("maybe", might_contain(spark, sieve, "ref_key"))
     shape = [F.lit(ref.field).alias("ref_field"), "record_id", "ref_key", "t"]
     definite = probed.where(~F.col("maybe")).select(*shape, F.lit("missing").alias("reason"))

@@ -21,21 +21,24 @@ from kinolith.sources.tables import table
 
 #: Levels of a tier: groups span 2^TIER_LEVELS units (about 410 s in tenths).
 TIER_LEVELS = 12
-#: Interval ends beyond this are no times; keeps level arithmetic within 64 bits.
+#: Interval ends beyond this leave the range in which levels are told apart by doubles.
 LIMIT = 1 << 50
+#: Ends from here on don't fit 32 bits in tenths of a second.
+MOST_SECONDS = 214_748_364.0
 
 
 def dyadic_blocks(start: Column, end: Column) -> Column:
     """Canonical blocks of [start, end): an array of (level, index), 2 log2(length) at most.
 
+    Shifts round down, so the left bound is shifted as its negative.
+
     At level l the interval has shrunk to [ceil(start/2^l), floor(end/2^l)); an odd left bound
     and an odd right bound each emit a block there.
     """
 
     def at(level: Column) -> Column:
-        power = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        left, right = -F.floor(-start / power), F.floor(end / power)
-        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        left, right = -F.call_function("shiftright", -start, level), F.call_function("shiftright", end, level)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
         block = lambda index: F.struct(level.alias("level"), index.cast("bigint").alias("idx"))
         empty = F.array().cast("array<struct<level:int,idx:bigint>>")
         return F.when(
@@ -91,15 +94,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         blocks = batch.column("blocks")
         sizes = np.diff(blocks.offsets.to_numpy())
-        flat = blocks.flatten()
+        code = blocks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), sizes)
-        level = flat.field("level").to_numpy(zero_copy_only=False).astype(np.int64)
-        index = flat.field("idx").to_numpy(zero_copy_only=False).astype(np.int64)
-        tier = batch.column("tier").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
         group = batch.column("grp").to_numpy(zero_copy_only=False).astype(np.int64)
-        level = level - tier * TIER_LEVELS
-        index = index - (group[owner] << (TIER_LEVELS - level))
-        who, start, end = _levels_to_runs(owner, level, index)
+        who, start, end = _levels_to_runs(owner, code >> (TIER_LEVELS + 1), code & ((1 << (TIER_LEVELS + 1)) - 1))
         base = batch.column("tier").to_numpy(zero_copy_only=False).astype(np.int64)[who] * TIER_LEVELS
         origin = group[who] << TIER_LEVELS
         offsets = np.searchsorted(who, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -129,8 +127,11 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     tier = F.when(F.col("b.level") == 0, 0).otherwise(F.floor((F.col("b.level") - 1) / TIER_LEVELS)).cast("int")
     blocks = blocks.withColumn("tier", tier)
     above = (F.col("tier") + 1) * TIER_LEVELS - F.col("b.level")
-    blocks = blocks.withColumn("grp", F.floor(F.col("b.idx") / F.call_function("shiftleft", F.lit(1).cast("bigint"), above)).cast("bigint"))
-    grouped = blocks.groupBy(*names, "tier", "grp").agg(F.collect_set("b").alias("blocks"))
+    blocks = blocks.withColumn("grp", F.call_function("shiftright", F.col("b.idx"), above))
+    # one int a block: its level in the tier and its index in the group, which is below 2^(TIER_LEVELS + 1)
+    inside = F.col("b.idx") - F.call_function("shiftleft", F.col("grp"), above)
+    code = (F.col("b.level") - F.col("tier") * TIER_LEVELS) * (1 << (TIER_LEVELS + 1)) + inside
+    grouped = blocks.groupBy(*names, "tier", "grp").agg(F.collect_set(code.cast("int")).alias("blocks"))
 
     kinds = {f.name: f.dataType.simpleString() for f in grouped.schema.fields}
     schema = ", ".join(f"{n} {kinds[n]}" for n in [*names, "tier", "grp"]) + ", runs array<struct<f:bigint,t:bigint>>"
@@ -172,24 +173,41 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     )
 
 
+def timeline_events(events: DataFrame) -> DataFrame:
+    """Events that count, in tenths of a second, with ``fits``: whether both ends are within 32 bits.
+
+    An event counts if it has a scene, an actor with a visible character and two real numbers with e
+    after s. Those that don't fit can't be given in the columns of the periods; they are listed by
+    ``rejected_events`` instead of being lost.
+    """
+    actor = F.lower(strip_invisible(F.col("who")))
+    real = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5)
+    fits = (F.abs(F.col("s")) < MOST_SECONDS) & (F.abs(F.col("e")) < MOST_SECONDS)
+    kept = events.where(F.col("scene_id").isNotNull() & (actor != "") & real(F.col("s")) & real(F.col("e")) & (F.col("e") > F.col("s")))
+    return kept.select(
+        "scene_id", actor.alias("who"), "s", "e", fits.alias("fits"),
+        F.when(fits, tenth("s").cast("bigint")).alias("a"), F.when(fits, tenth("e").cast("bigint")).alias("b"),
+    )
+
+
 def scene_periods(events: DataFrame) -> DataFrame:
     """Periods and gaps of the actors of scenes in tenths of a second.
 
-    An event counts if it has a scene, an actor with a visible character and two real numbers
-    with e after s; an event shorter than the rounding (both ends on one tenth) leaves nothing.
+    An event shorter than the rounding (both ends on one tenth) leaves nothing. See
+    ``timeline_events`` for what counts.
     """
-    actor = F.lower(strip_invisible(F.col("who")))
-    real = lambda c: ~F.isnan(c) & (F.abs(c) < 1e14)
-    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5).cast("bigint")
-    valid = events.where(
-        F.col("scene_id").isNotNull() & (actor != "") & real(F.col("s")) & real(F.col("e")) & (F.col("e") > F.col("s"))
-    ).select("scene_id", actor.alias("who"), tenth("s").alias("a"), tenth("e").alias("b"))
-    found = periods_and_gaps(valid, ["scene_id", "who"], "a", "b")
+    found = periods_and_gaps(timeline_events(events).where("fits"), ["scene_id", "who"], "a", "b")
     return found.select(
         "kind", "scene_id", "who",
         F.col("from_at").cast("int").alias("from_tenth"), F.col("to_at").cast("int").alias("to_tenth"),
     )
 
 
+def rejected_events(events: DataFrame) -> DataFrame:
+    """Events that count but whose ends don't fit the columns of the periods, per scene and actor."""
+    return timeline_events(events).where(~F.col("fits")).groupBy("scene_id", "who").agg(F.count("*").alias("n_events"))
+
+
 def scene_table(spark: SparkSession, folder: str) -> DataFrame:
     return scene_periods(table(spark, folder, "scene_grammar", "scene_id", "who", "s", "e"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinolith.functions.clean import NOTHING
 from kinolith.operators import orphans, periods
+from kinolith.sources.tables import table
 
 
 def p1_found(spark, sf):
@@ -20,6 +20,10 @@ def p2_found(spark, sf):
     return periods.scene_table(spark, sf)
 
 
+def p2_rejected(spark, sf):
+    return periods.rejected_events(table(spark, sf, "scene_grammar", "scene_id", "who", "s", "e"))
+
+
 def p2_actor_summary(spark, sf):
     """Covered and uncovered tenths per actor over all scenes."""
     found = periods.scene_table(spark, sf).withColumn("span", F.col("to_tenth") - F.col("from_tenth"))
@@ -31,7 +35,7 @@ def p2_actor_summary(spark, sf):
     )
 
 
-_WORDS = ", ".join(f"'{w}'" for w in NOTHING)
+_WORDS = "'', '-', '--', '?', 'n/a', 'na', 'nan', 'nil', 'none', 'null', 'nothing', 'undefined', 'missing', 'void'"
 _EDGE = r"'^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$'"
 
 
@@ -63,7 +67,7 @@ _ALL = " UNION ALL ".join(_resolved(r) for r in orphans.REFERENCES)
 
 _PERIODS = f"""WITH v AS (SELECT DISTINCT scene_id, lower(regexp_replace(who, {_EDGE}, '', 'g')) AS who,
   CAST(floor(s * 10 + 0.5) AS BIGINT) AS a, CAST(floor(e * 10 + 0.5) AS BIGINT) AS b FROM scene_grammar
-  WHERE scene_id IS NOT NULL AND regexp_replace(who, {_EDGE}, '', 'g') <> '' AND isfinite(s) AND isfinite(e) AND e > s),
+  WHERE scene_id IS NOT NULL AND regexp_replace(who, {_EDGE}, '', 'g') <> '' AND isfinite(s) AND isfinite(e) AND e > s AND abs(s) < 214748364 AND abs(e) < 214748364),
  w AS (SELECT *, max(b) OVER (PARTITION BY scene_id, who ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb
   FROM v WHERE a < b),
  x AS (SELECT *, sum(CASE WHEN pb IS NULL OR a > pb THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id, who ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM w),
@@ -78,6 +82,7 @@ QUERIES = {
     "p1_orphans_by_month": p1_orphans_by_month,
     "p2_found": p2_found,
     "p2_actor_summary": p2_actor_summary,
+    "p2_rejected": p2_rejected,
 }
 
 ORACLE = {
@@ -87,6 +92,8 @@ ORACLE = {
  count(*) FILTER (reason = 'removed') AS n_removed, count(*) FILTER (reason = 'younger') AS n_younger
  FROM ({_ALL}) GROUP BY 1, 2""",
     "p2_found": _PERIODS + "SELECT * FROM found",
+    "p2_rejected": f"""SELECT scene_id, lower(regexp_replace(who, {_EDGE}, '', 'g')) AS who, count(*) AS n_events FROM scene_grammar
+ WHERE scene_id IS NOT NULL AND regexp_replace(who, {_EDGE}, '', 'g') <> '' AND isfinite(s) AND isfinite(e) AND e > s AND (abs(s) >= 214748364 OR abs(e) >= 214748364) GROUP BY 1, 2""",
     "p2_actor_summary": _PERIODS
     + """SELECT who, count(*) FILTER (kind = 'period') AS n_periods,
  CAST(coalesce(sum(to_tenth - from_tenth) FILTER (kind = 'period'), 0) AS BIGINT) AS covered,

@@ -1 +1 @@
-
+"""Structured Streaming: resumable ingestion and stateful folds."""
