@@ -49,6 +49,8 @@ NUMBERS = {
 _NUMBERS = {
     name: (kind, re.compile(rf"(?<![\w/#+-])(?<!\d[.,:])(?:{pattern})(?!\w|[.,:/-]\d)")) for name, (kind, pattern) in NUMBERS.items()
 }
+#: Where a number of seven digits or of letters and six digits may start.
+_START = re.compile(r"(?<![\w/#+-])(?<!\d[.,:])(?=[+(A-Z\d](?:\D{0,3}\d){6})")
 
 _CODE = r"(?:,?\s(?:[A-Z]{2}\s\d{5}|\d{5}|[A-Z]{2}\d\s\d[A-Z]{2})(?!\w))?"
 #: Street types of four languages.
@@ -233,8 +235,11 @@ def _candidates(text: str, lexicon: Lexicon) -> list[Candidate]:
         for m in pattern.finditer(text):
             found.append(Candidate(*m.span(), {ADDRESS}, [f"street={name}"], ["a " + plain(m.group()[:24])]))
     spans: dict[tuple[int, int], Candidate] = {}
-    for name, (kind, pattern) in _NUMBERS.items():
-        for m in pattern.finditer(text):
+    for place in _START.finditer(text):
+        for name, (kind, pattern) in _NUMBERS.items():
+            m = pattern.match(text, place.start())
+            if not m:
+                continue
             c = spans.setdefault(m.span(), Candidate(*m.span(), set()))
             c.kinds.add(kind)
             c.marks.append(f"format={name}")
