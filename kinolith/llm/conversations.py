@@ -130,15 +130,15 @@ def _segments(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) ->
                 hour[1] = hour[1] or bool(r.amended)
                 hour[2].append((None if pd.isna(r.t) else int(r.t), r.speaker, r.id, r.content))
     now = state.getCurrentWatermarkMs()
-    ends = {k: 0 if k[1] is None else (k[1] + 1) * SLOT // 1000 for k, hour in hours.items() if hour[2]}
-    if state.hasTimedOut:
-        done = [k for k, end in ends.items() if end <= now]
-        if done:
-            yield _frame([_segment(*k, hours[k][0], hours[k][1] or hours[k][0] > 0, hours[k][2]) for k in done])
-        for k in done:
-            # the hour stays known, so that a later row is told to amend it
-            hours[k] = [hours[k][0] + 1, False, []]
-            del ends[k]
+    ends = {k: 1 if k[1] is None else max(1, (k[1] + 1) * SLOT // 1000) for k, hour in hours.items() if hour[2]}
+    # on a timeout, or at once where the watermark is past the hour already
+    done = [k for k, end in ends.items() if end <= now]
+    if done:
+        yield _frame([_segment(*k, hours[k][0], hours[k][1] or hours[k][0] > 0, hours[k][2]) for k in done])
+    for k in done:
+        # the hour stays known, so that a later row is told to amend it
+        hours[k] = [hours[k][0] + 1, False, []]
+        del ends[k]
     state.update((pickle.dumps(hours),))
     if ends:
         state.setTimeoutTimestamp(max(min(ends.values()), now + 1))
@@ -165,11 +165,13 @@ def _run(stream: DataFrame, folder: str, name: str) -> None:
     sink.trigger(availableNow=True).start().awaitTermination()
 
 
-def segments(messages: DataFrame, n_buckets: int, contents: bool, folder: str) -> DataFrame:
+def segments(messages: DataFrame, n_buckets: int, contents: bool, folder: str, close: bool = True) -> DataFrame:
     """Run the stream of ``messages`` to its end and return the segments it wrote to ``folder``.
 
     With ``contents`` false, texts are replaced by a hash of theirs before they reach any state.
-    A second call with the same folder goes on from where the last one ended.
+    A second call with the same folder goes on from where the last one ended. With ``close`` a mark past
+    all times ends the stream and closes every hour; without it, hours stay open until later messages
+    have moved the watermark past them.
     """
     spark = messages.sparkSession
     text = strip_invisible(F.col("content"))
@@ -198,8 +200,10 @@ def segments(messages: DataFrame, n_buckets: int, contents: bool, folder: str) -
     no_mark = F.lit(None).cast("timestamp")
     both = first.select("*", F.explode(F.array(no_mark, F.timestamp_micros("t"))).alias("mark"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema.fields]
-    marks = spark.readStream.schema("mark timestamp").parquet(_mark_folder(spark)).select(*empty, "mark")
-    marked = both.where("mark IS NULL OR t IS NOT NULL").unionByName(marks)
+    marked = both.where("mark IS NULL OR t IS NOT NULL")
+    if close:
+        marks = spark.readStream.schema("mark timestamp").parquet(_mark_folder(spark)).select(*empty, "mark")
+        marked = marked.unionByName(marks)
     dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("chat_id", "slot"), F.lit(n_buckets)))
     keyed = dealt.withWatermark("mark", DELAY).where("mark IS NULL").groupBy("bucket")
     found = keyed.applyInPandasWithState(_segments, _SEGMENT, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
