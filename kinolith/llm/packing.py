@@ -1,139 +1,225 @@
 """Filling containers of fixed capacity: bulk-synchronous best fit.
 
-Items are ordered by size and ranked within their size. In a round every item, largest first,
-looks for its successor among the gaps: the smallest gap that holds it. Items that want the same
-gaps are served by rank; the gaps shrink, and the next round sweeps over the new gaps. When nothing
-fits, as many containers open as the rest needs at least, for the largest items.
-
-Sizes are whole tokens up to the capacity, so all items of one size behave alike and the sweep
-works on (size, count) classes, at most ``capacity`` of them, and on gaps that each hold a list of
-container ranges. A container lies in one range at a time, so there are never more gap ranges than
-containers; a decided range places an item at least, so there are at most as many as items. The
-sweeps run on the driver. The rounds decide ranges of ranks; the documents themselves are ranked
-and matched with the ranges in Spark.
+Documents and gaps are range-sorted by size, and all of one size are one class with a count, so a
+capacity has no more classes of either kind than tokens. A round is one job over the classes of all
+capacities: a sweep from the largest size down gives every item class its successors, the smallest
+gaps that hold it and that no larger item has taken; conflicts go by rank, larger sizes first, then
+by rank in the class. Then the gaps are updated, and the next round sweeps again. Where nothing
+fits, as many containers open as the rest needs at least.
+
+Members of a class are told apart by their rank alone. What a round decides are ranges of ranks: so
+many containers of a gap class take so many items each of a size class and become the members of
+another gap class. The containers follow these moves by themselves, in parallel, and say which rank
+of which size they took; an equal join on size and rank brings documents and containers together.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinolith.llm.bpe import TOKENIZERS, VOCABULARY, encoder_of, load_vocabulary
 from kinolith.session import through_table
 
-#: Capacities above this are refused: the class tables on the driver are bounded by it.
-MAX_CAPACITY = 1 << 20
 #: A size class is ranked in so many parts, as one size may hold a third of all rows.
 RANK_PARTS = 64
-#: Ranks are matched with ranges in blocks of this many, so a hot size is spread over its blocks.
-RANK_BLOCK = 1024
-#: Ranges, counted once a block, up to this many are broadcast, beyond they are joined by a shuffle.
-BROADCAST_RANGES = 100_000
+#: Containers of one row of the table that they are spread from.
+SPREAD = 10_000
+
+_CLASSES = "capacity int, is_gap boolean, value int, n bigint, first_rank bigint"
+_MOVES = "capacity int, gap int, gap_rank bigint, n bigint, size int, each int, size_rank bigint, new_gap int, new_rank bigint"
+
+
+def sweep(items: list[tuple[int, int, int]], gaps: list[tuple[int, int]]) -> list[tuple]:
+    """One round of one capacity: moves (gap, gap_rank, n, size, each, size_rank, new_gap, new_rank).
+
+    ``items``: (size, count, first rank not placed yet); ``gaps``: (gap, count). From the largest value
+    down, gaps are stacked and every size takes from the top of the stack, the smallest gaps that hold
+    it. Each container takes one item, or several of one size where that size has more items than
+    there are containers left. Containers that take none move to the same gap, with size 0.
+    """
+    order = sorted([(g, 0, n, 0) for g, n in gaps if n] + [(s, 1, n, r) for s, n, r in items if n], key=lambda x: (-x[0], x[1]))
+    stack: list[list[int]] = []  # gap, first rank, count
+    held, taken = 0, []
+    for value, is_item, n, rank in order:
+        if not is_item:
+            stack.append([value, 0, n])
+            held += n
+            continue
+        each = max(1, -(-n // held)) if held else 1
+        while n and stack:
+            gap, first, k = stack[-1]
+            m = min(each, gap // value)
+            full = min(k, n // m)
+            if not full:
+                m, full = n, 1
+            taken.append((gap, first, full, value, m, rank))
+            rank, n, held = rank + full * m, n - full * m, held - full
+            if full == k:
+                stack.pop()
+            else:
+                stack[-1][1], stack[-1][2] = first + full, k - full
+    taken += [(gap, first, k, 0, 0, 0) for gap, first, k in stack]
+    following: dict[int, int] = {}
+    moves = []
+    for gap, first, k, size, m, rank in taken:
+        new = gap - size * m
+        at = following.get(new, 0)
+        following[new] = at + k
+        moves.append((gap, first, k, size, m, rank, new, at))
+    return moves
+
+
+def _sweep_group(key: tuple, table: pa.Table) -> pa.Table:
+    rows = table.to_pydict()
+    items = [(v, n, r) for v, n, r, g in zip(rows["value"], rows["n"], rows["first_rank"], rows["is_gap"]) if not g]
+    gaps = [(v, n) for v, n, g in zip(rows["value"], rows["n"], rows["is_gap"]) if g]
+    moves = [(key[0].as_py(), *m) for m in sweep(items, gaps)]
+    names = [x.split()[0] for x in _MOVES.split(", ")]
+    kinds = [pa.int32() if x.split()[1] == "int" else pa.int64() for x in _MOVES.split(", ")]
+    return pa.Table.from_arrays([pa.array([m[i] for m in moves], k) for i, k in enumerate(kinds)], names=names)
 
 
-def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """(size, first rank, end rank, first container) ranges that place all items.
+def plan_rounds(spark: SparkSession, counts: dict[int, dict[int, int]]) -> tuple[list[list[tuple]], dict[int, list[tuple]]]:
+    """Moves of every round, and per capacity the openings (round, first container, count).
 
-    Items of size 0 need no room and have no range here. Items above the capacity get containers
-    of their own.
+    ``counts``: items of each size, for each capacity. The driver passes the classes from round to
+    round: at most a count for every size and gap up to the capacity (and a few sizes above it).
     """
-    left = {s: [0, n] for s, n in counts.items() if s > 0 and n > 0}  # size: next rank, count
-    sizes = sorted(left, reverse=True)
-    total = sum(s * n for s, (_, n) in left.items())
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: (first container, count) ranges
-    order: list[int] = []
-    ranges, opened = [], 0
-
-    def free(gap: int, first: int, n: int) -> None:
-        if gap > 0 and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    while sizes:
-        fresh, placed = [], False
-        smallest = sizes[-1]
-        for size in sizes:
-            at = bisect_left(order, size)
-            while left[size][1] and at < len(order):
-                gap = order[at]
-                held = gaps[gap]
-                while held and left[size][1]:
-                    first, n = held.pop()
-                    rank, want = left[size]
-                    k = min(n, want)
-                    ranges.append((size, rank, rank + k, first))
-                    fresh.append((gap - size, first, k))
-                    left[size] = [rank + k, want - k]
-                    if k < n:
-                        held.append((first + k, n - k))
-                    total -= size * k
-                    placed = True
-                if held:
-                    break
-                del gaps[gap], order[at]
-        for gap, first, n in fresh:
-            if gap >= smallest:
-                free(gap, first, n)
-        sizes = [s for s in sizes if left[s][1]]
-        if placed or not sizes:
+    items = {c: {s: (n, 0) for s, n in sizes.items() if s > 0 and n > 0} for c, sizes in counts.items()}
+    gaps: dict[int, dict[int, int]] = {c: {} for c in counts}
+    opened = {c: 0 for c in counts}
+    openings: dict[int, list[tuple]] = {c: [] for c in counts}
+    rounds: list[list[tuple]] = []
+    stuck = {c: True for c in counts}
+    while any(items.values()):
+        rows = []
+        for c, left in items.items():
+            if not left:
+                continue
+            if stuck[c]:
+                # sizes above the capacity are single characters; each gets a container of its own size
+                over = {s: n for s, (n, _) in left.items() if s > c}
+                for s, n in over.items():
+                    openings[c].append((len(rounds), s, opened[c], n))
+                    gaps[c][s] = gaps[c].get(s, 0) + n
+                    opened[c] += n
+                total = sum(s * n for s, (n, _) in left.items() if s <= c)
+                if total:
+                    k = -(-total // c)
+                    openings[c].append((len(rounds), c, opened[c], k))
+                    gaps[c][c] = gaps[c].get(c, 0) + k
+                    opened[c] += k
+            rows += [(c, False, s, n, r) for s, (n, r) in left.items()]
+            rows += [(c, True, g, n, 0) for g, n in gaps[c].items()]
+        classes = spark.createDataFrame(rows, _CLASSES).repartition(len(counts), "capacity").sortWithinPartitions("capacity", F.desc("value"))
+        moves = [tuple(r) for r in classes.groupBy("capacity").applyInArrow(_sweep_group, _MOVES).collect()]
+        rounds.append(moves)
+        for c, left in items.items():
+            if not left:
+                continue
+            placed = 0
+            gaps[c] = {}
+            for _, _, _, n, size, each, _, new, _ in (m for m in moves if m[0] == c):
+                gaps[c][new] = gaps[c].get(new, 0) + n
+                if size:
+                    many, rank = left[size]
+                    left[size] = (many - n * each, rank + n * each)
+                    placed += n
+            items[c] = {s: x for s, x in left.items() if x[0]}
+            # open again where a sweep placed nothing, or nothing that is left can be placed
+            stuck[c] = not placed or not items[c] or max(gaps[c], default=0) < min(items[c], default=0)
+    return rounds, openings
+
+
+def follow(rounds: list[list[tuple]], capacity: int, born: np.ndarray, gap: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(container index, size, size rank) of every item that the given containers take.
+
+    ``born``: the round before which a container opens; ``gap`` and ``rank``: its class at that time.
+    """
+    gap, rank = gap.copy(), rank.copy()
+    for number, moves in enumerate(rounds):
+        own = sorted(m[1:] for m in moves if m[0] == capacity)
+        if not own:
             continue
-        wanted = max(1, -(-total // capacity))
-        for size in sizes:
-            rank, n = left[size]
-            k = min(n, wanted)
-            ranges.append((size, rank, rank + k, opened))
-            free(capacity - size, opened, k)
-            left[size] = [rank + k, n - k]
-            total -= size * k
-            opened += k
-            wanted -= k
-            if not wanted:
-                break
-        sizes = [s for s in sizes if left[s][1]]
-    return ranges
-
-
-def sized_documents(documents: DataFrame, capacities: list[int], folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
-    """row_no, doc_id, text and parts (capacity, part_no, n_parts, n_tokens, from_char, to_char)."""
+        table = np.array(own, np.int64)
+        alive = np.flatnonzero(born <= number)
+        wide = 1 << 40
+        at = np.searchsorted(table[:, 0] * wide + table[:, 1], gap[alive] * wide + rank[alive], "right") - 1
+        m = table[at]
+        inside = rank[alive] - m[:, 1]
+        start = m[:, 5] + inside * m[:, 4]
+        for k in range(int(m[:, 4].max(initial=0))):
+            some = np.flatnonzero(m[:, 4] > k)
+            yield alive[some], m[some, 3], start[some] + k
+        gap[alive], rank[alive] = m[:, 6], m[:, 7] + inside
+
+
+def containers(spark: SparkSession, rounds: list[list[tuple]], openings: dict[int, list[tuple]]) -> DataFrame:
+    """capacity, n_tokens, rank, container_id of every placed item, made by the containers in parallel."""
+    # ranks of an opening stand behind the members that its class has at that time
+    starts = []
+    for c, opens in openings.items():
+        for number, value, first, n in opens:
+            before = sum(m[3] for m in rounds[number - 1] if m[0] == c and m[7] == value) if number else 0
+            before += sum(k for r, v, f, k in opens if (r, v) == (number, value) and f < first)
+            starts += [(c, number, value, before + i, first + i, min(SPREAD, n - i)) for i in range(0, n, SPREAD)]
+    shared = spark.sparkContext.broadcast(rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = shared.value
+        for batch in batches:
+            for c, born, gap, rank, first, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                full = lambda x: np.full(n, x, np.int64)  # noqa: B023, E731
+                for who, size, at in follow(moves, c, full(born), full(gap), rank + np.arange(n)):
+                    kinds = (np.full(len(who), c, np.int32), size.astype(np.int32), at, first + who)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kinds], names=["capacity", "n_tokens", "rank", "container_id"])
+
+    rows = spark.createDataFrame(starts, "capacity int, born int, gap int, rank bigint, first bigint, n int")
+    spread = rows.repartition(max(1, min(200, len(starts))))
+    return spread.mapInArrow(run, "capacity int, n_tokens int, rank bigint, container_id bigint")
+
+
+def document_parts(documents: DataFrame, capacities: list[int], folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """row and parts (capacity, part_no, n_parts, n_tokens, from_char, to_char) of every row, without its text."""
     shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(folder, name))
+    fields = ["capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char"]
+    kind = pa.list_(pa.struct([(f, pa.int32()) for f in fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
-        fields = ["capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char"]
-        kind = pa.list_(pa.struct([(f, pa.int32()) for f in fields]))
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
-                rows = []
                 some = batch.slice(begin, 1000)
-                for text in some.column(some.schema.names.index("text")):
-                    text = text.as_py() or ""
+                rows = []
+                for text in some.column(1).to_pylist():
+                    text = text or ""
                     ids = encoder.encode(text)
                     row = []
                     for capacity in capacities:
                         parts = encoder.parts(text, ids, capacity)
                         row += [(capacity, i, len(parts), *p) for i, p in enumerate(parts)]
                     rows.append([dict(zip(fields, r)) for r in row])
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(rows, kind)], names=[*some.schema.names, "parts"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, kind)], names=["row", "parts"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    key = documents.schema["row"].dataType.simpleString()
     part = "struct<capacity:int,part_no:int,n_parts:int,n_tokens:int,from_char:int,to_char:int>"
-    return (
-        documents.select("doc_id", "text")
-        .withColumn("row_no", F.monotonically_increasing_id())
-        .mapInArrow(run, f"doc_id {kind}, text string, row_no bigint, parts array<{part}>")
-    )
+    return documents.select("row", "text").mapInArrow(run, f"row {key}, parts array<{part}>")
 
 
-def candidates(ranked: DataFrame, plan: DataFrame, broadcast: bool = True) -> DataFrame:
-    """Every item of ``ranked`` with the ranges of its size that reach into its block of ranks."""
-    blocks = plan.withColumn("block", F.explode(F.expr(f"sequence(rank_from div {RANK_BLOCK}, (rank_to - 1) div {RANK_BLOCK})")))
-    items = ranked.withColumn("block", F.expr(f"rank div {RANK_BLOCK}"))
-    return items.join(F.broadcast(blocks) if broadcast else blocks, ["capacity", "n_tokens", "block"])
+def ranked_parts(items: DataFrame) -> DataFrame:
+    """Add to every part its rank among those of its capacity and size, counted in parts of a class."""
+    klass = ["capacity", "n_tokens", "part"]
+    items = items.withColumn("part", F.pmod(F.xxhash64("row", "part_no"), F.lit(RANK_PARTS)).cast("int"))
+    sizes = items.groupBy(*klass).count()
+    before = Window.partitionBy("capacity", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*klass, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy(*klass).orderBy("row", "part_no")) - 1
+    ranked = items.withColumn("local", local).join(offsets, klass)
+    return ranked.withColumn("rank", F.col("offset") + F.col("local")).drop("part", "local", "offset")
 
 
 def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -144,44 +230,31 @@ def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name:
     the text. Null and empty texts have no tokens and lie in container 0. Repeated rows and equal
     sizes are placed row by row. Packs with a null or non-positive capacity are left out; packs of
     one name with several capacities stay apart by their capacity. An empty table gives no rows.
+
+    A column ``row`` that names each row, such as its file and place, spares a copy of the texts: sizes
+    are planned without them, and they are joined once, at the end. Without it rows are numbered in a
+    table of their own. The same rows give the same containers at every run.
     """
     spark = documents.sparkSession
-    wanted = packs.where("capacity > 0").select("pack_name", F.col("capacity").cast("bigint").alias("capacity")).distinct()
-    held = wanted.orderBy("capacity", "pack_name").limit(1001).collect()
-    if len(held) > 1000 or any(r.capacity > MAX_CAPACITY for r in held):
-        raise ValueError(f"at most 1000 packs of at most {MAX_CAPACITY} tokens")
-    capacities = sorted({r.capacity for r in held})
-    sized = through_table(sized_documents(documents, capacities, folder, name), "sized")
-
-    items = sized.select("row_no", F.explode("parts").alias("p")).select("row_no", "p.*")
+    wanted = packs.where("capacity > 0").select("pack_name", F.col("capacity").cast("int").alias("capacity")).distinct()
+    # a pack is a setting, not data: the list is as long as the table of packs
+    capacities = sorted(r.capacity for r in wanted.select("capacity").distinct().collect())
+    if "row" not in documents.columns:
+        documents = through_table(documents.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    documents = documents.select("row", "doc_id", "text")
+    parts = through_table(document_parts(documents, capacities, folder, name), "parts")
+
+    items = parts.select("row", F.explode("parts").alias("p")).select("row", "p.*")
     counts: dict[int, dict[int, int]] = {c: {} for c in capacities}
     # bounded by the capacities: one row a size (single characters above a capacity add a few)
     for r in items.groupBy("capacity", "n_tokens").count().collect():
         counts[r.capacity][r.n_tokens] = r["count"]
-    ranges = [(c, *r) for c in capacities for r in plan_best_fit(counts[c], c)]
-    ranges += [(c, 0, 0, counts[c][0], -1) for c in capacities if 0 in counts[c]]
-    n_blocks = sum((r[3] - 1) // RANK_BLOCK - r[2] // RANK_BLOCK + 1 for r in ranges)
-    plan = spark.createDataFrame(
-        pa.Table.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*ranges), [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])],
-            names=["capacity", "n_tokens", "rank_from", "rank_to", "container_from"],
-        ).to_pandas()
-        if ranges
-        else [],
-        "capacity int, n_tokens int, rank_from bigint, rank_to bigint, container_from bigint",
-    )
-
-    klass = ["capacity", "n_tokens", "part"]
-    items = items.withColumn("part", F.pmod(F.xxhash64("row_no", "part_no"), F.lit(RANK_PARTS)).cast("int"))
-    sizes = items.groupBy(*klass).count()
-    before = Window.partitionBy("capacity", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*klass, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy(*klass).orderBy("row_no", "part_no")) - 1
-    ranked = items.withColumn("local", local).join(offsets, klass).withColumn("rank", F.col("offset") + F.col("local"))
-    placed = candidates(ranked, plan, n_blocks <= BROADCAST_RANGES).where("rank >= rank_from and rank < rank_to")
-    container = F.when(F.col("container_from") < 0, 0).otherwise(F.col("container_from") + F.col("rank") - F.col("rank_from"))
-    placed = placed.select("row_no", "capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char", container.alias("container_id"))
-    full = placed.join(sized.select("row_no", "doc_id", "text"), "row_no").join(F.broadcast(spark.createDataFrame([(r.pack_name, r.capacity) for r in held], "pack_name string, capacity int")), "capacity")
+    rounds, openings = plan_rounds(spark, counts)
+    placed = ranked_parts(items.where("n_tokens > 0")).join(containers(spark, rounds, openings), ["capacity", "n_tokens", "rank"])
+    nothing = items.where("n_tokens = 0").withColumn("container_id", F.lit(0).cast("bigint"))
+    shape = ["row", "capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char", "container_id"]
+    all_parts = placed.select(*shape).unionByName(nothing.select(*shape))
+    full = all_parts.join(documents, "row").join(F.broadcast(wanted), "capacity")
     text = F.substring(F.col("text"), F.col("from_char") + 1, F.col("to_char") - F.col("from_char"))
     return full.select("pack_name", "capacity", "container_id", "doc_id", "part_no", "n_parts", "n_tokens", text.alias("text"))
 

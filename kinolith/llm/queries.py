@@ -69,7 +69,9 @@ def p6_token_report(spark, sf):
 
 
 def p7_containers(spark, sf):
-    return packing.pack(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "pack_sizes"))
+    documents = table(spark, sf, "documents")
+    row = F.struct("_metadata.file_path", "_metadata.row_index").alias("row")
+    return packing.pack(documents.select("doc_id", "text", row), table(spark, sf, "pack_sizes"))
 
 
 def p7_fill(spark, sf):
