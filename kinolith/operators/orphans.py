@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinolith.functions.clean import epoch_micros, key_of, month_of
 from kinolith.operators.skew import lookup_join
+from kinolith.session import through_table
 from kinolith.sources.tables import table
 
 #: Upper bound of what is broadcast (64 MB), enough for 44 million parent keys at the full rate of
@@ -68,9 +69,10 @@ def might_contain(spark: SparkSession, filter_bytes: bytes, column: str) -> Colu
     return Column(utils.column(expressions.BloomFilterMightContain(literal, hashed)))
 
 
-def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
-    """All references of one column with ``is_orphan`` and ``reason``.
+def resolve_many(parts: list[tuple[DataFrame, DataFrame, Reference]]) -> DataFrame:
+    """All references of several columns with ``is_orphan`` and ``reason``, by one filter and one join.
 
+    ``parts``: child, parent and reference of each column.
     Columns: ref_field, record_id, ref_key, t (earliest time of the record, microseconds or
     null), is_orphan, reason (missing, removed, younger or null).
 
@@ -80,52 +82,66 @@ def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
     never make a target younger. Empty tables give no rows (no child) or missing targets only (no
     parent).
     """
-    spark = child.sparkSession
-    key = key_of(F.col(ref.column), ref.folders)
-    rows = child.select(
-        F.col(ref.child_id).cast("string").alias("record_id"),
-        key.alias("ref_key"),
-        epoch_micros(F.col(ref.child_time)).alias("t"),
-    )
-    pairs = rows.where("record_id is not null").groupBy("record_id", "ref_key").agg(F.min("t").alias("t"))
+    spark = parts[0][0].sparkSession
+    rows = targets = None
+    n_parents = 0
+    # one letter a reference column goes before its keys, so that all of them share a filter and a join
+    codes = {chr(ord("a") + i): ref.field for i, (_, _, ref) in enumerate(parts)}
+    for code, (child, parent, ref) in zip(codes, parts):
+        made = child.select(
+            F.lit(code).alias("code"),
+            F.col(ref.child_id).cast("string").alias("record_id"),
+            F.concat(F.lit(code), key_of(F.col(ref.column), ref.folders)).alias("key"),
+            epoch_micros(F.col(ref.child_time)).alias("t"),
+        )
+        removed = F.col(ref.parent_removed).isNotNull() if ref.parent_removed else F.lit(False)
+        known = parent.select(
+            F.concat(F.lit(code), key_of(F.col(ref.parent_key), ref.folders)).alias("key"),
+            epoch_micros(F.col(ref.parent_time)).alias("target_t"),
+            removed.alias("removed"),
+        )
+        rows = made if rows is None else rows.unionByName(made)
+        targets = known if targets is None else targets.unionByName(known)
+        n_parents += parent.count()
     # the earliest time of a record may stand on a row that holds another key or none
-    pairs = pairs.withColumn("t", F.min("t").over(Window.partitionBy("record_id")))
-    pairs = pairs.unionByName(rows.where("record_id is null")).where("ref_key is not null")
-
-    removed = F.col(ref.parent_removed).isNotNull() if ref.parent_removed else F.lit(False)
-    targets = parent.select(
-        key_of(F.col(ref.parent_key), ref.folders).alias("ref_key"),
-        epoch_micros(F.col(ref.parent_time)).alias("target_t"),
-        removed.alias("removed"),
-    ).where("ref_key is not null")
-
-    sieve = bloom_bytes(targets, "ref_key", parent.count())
-    probed = pairs.withColumn("maybe", might_contain(spark, sieve, "ref_key"))
-    shape = [F.lit(ref.field).alias("ref_field"), "record_id", "ref_key", "t"]
-    definite = probed.where(~F.col("maybe")).select(*shape, F.lit("missing").alias("reason"))
-
-    known = targets.groupBy("ref_key").agg(F.min("target_t").alias("target_t"), F.max("removed").alias("removed"))
-    checked = lookup_join(probed.where("maybe").select("record_id", "ref_key", "t"), known, "ref_key")
+    records = rows.where("record_id is not null").groupBy("code", "record_id").agg(F.min("t").alias("t"), F.collect_set("key").alias("keys"))
+    pairs = records.select("record_id", F.explode("keys").alias("key"), "t")
+    pairs = pairs.unionByName(rows.where("record_id is null and key is not null").select("record_id", "key", "t"))
+    # read by the search for hot keys and by both branches behind the filter
+    pairs = through_table(pairs, "references")
+    targets = targets.where("key is not null")
+
+    sieve = bloom_bytes(targets, "key", n_parents)
+    probed = pairs.withColumn("maybe", might_contain(spark, sieve, "key"))
+    definite = probed.where(~F.col("maybe")).select("record_id", "key", "t", F.lit("missing").alias("reason"))
+
+    known = targets.groupBy("key").agg(F.min("target_t").alias("target_t"), F.max("removed").alias("removed"))
+    checked = lookup_join(probed.where("maybe").select("record_id", "key", "t"), known, "key")
     reason = (
         F.when(F.col("removed").isNull(), "missing")
         .when(F.col("removed"), "removed")
         .when(F.col("target_t") > F.col("t"), "younger")
     )
-    verified = checked.select(*shape, reason.alias("reason"))
-    return definite.unionByName(verified).withColumn("is_orphan", F.col("reason").isNotNull())
+    found = definite.unionByName(checked.select("record_id", "key", "t", reason.alias("reason")))
+    field = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.substring("key", 1, 1)]
+    return found.select(
+        field.alias("ref_field"), "record_id", F.expr("substring(key, 2)").alias("ref_key"), "t", "reason", F.col("reason").isNotNull().alias("is_orphan")
+    )
+
+
+def resolve(child: DataFrame, parent: DataFrame, ref: Reference) -> DataFrame:
+    """``resolve_many`` of one column."""
+    return resolve_many([(child, parent, ref)])
 
 
 def resolve_all(spark: SparkSession, folder: str) -> DataFrame:
-    """``resolve`` over the three reference columns of the project."""
+    """``resolve_many`` over the three reference columns of the project."""
     parts = []
     for ref in REFERENCES:
         child = table(spark, folder, ref.child, ref.child_id, ref.column, ref.child_time)
         columns = [ref.parent_key, ref.parent_time] + ([ref.parent_removed] if ref.parent_removed else [])
-        parts.append(resolve(child, table(spark, folder, ref.parent, *columns), ref))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        parts.append((child, table(spark, folder, ref.parent, *columns), ref))
+    return resolve_many(parts)
 
 
 def orphan_counts(resolved: DataFrame) -> DataFrame:
