@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "corpus", "series", "scenes", "vectors", "streams", "exports")
+MODULES = ("problems", "corpus", "series", "scenes", "vectors", "streams", "exports", "scripts")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

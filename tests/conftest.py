@@ -13,5 +13,6 @@ def spark():
     from kinolith.session import get_session
 
     session = get_session("local[4]", shuffle_partitions=4)
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
