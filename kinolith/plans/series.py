@@ -19,10 +19,12 @@ def _events(spark, sf, *columns):
 
 
 def _lines(spark, sf, *columns):
-    return table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *columns)
+    return table(spark, sf, "lineitem", "l_orderkey", *ORDER, *[c for c in columns if c not in ORDER])
 
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
+#: Lines repeat their numbers and parts, so their order takes quantity and price as well.
+ORDER = [*LINE, "l_quantity", "l_extendedprice"]
 
 
 def lag_diff(spark, sf):
@@ -186,21 +188,21 @@ def collect_set_sorted(spark, sf):
 
 
 def budget_prefix_trim(spark, sf):
-    w = S.so_far(["l_orderkey"], LINE)
+    w = S.so_far(["l_orderkey"], ORDER)
     return _lines(spark, sf, "l_quantity").withColumn("used", F.sum("l_quantity").over(w)).where("used <= 60").select("l_orderkey", *LINE, "used")
 
 
 def same_as_first(spark, sf):
     """Lines that share the return flag of the order's first line."""
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE)
+    w = Window.partitionBy("l_orderkey").orderBy(*ORDER)
     return _lines(spark, sf, "l_returnflag").withColumn("first_flag", F.first("l_returnflag").over(w)).where("l_returnflag = first_flag").select("l_orderkey", *LINE)
 
 
 def relative_roundtrip(spark, sf):
     """Quantities as differences to the line before, and summed up again."""
-    w = S.ordered(["l_orderkey"], LINE)
+    w = S.ordered(["l_orderkey"], ORDER)
     df = _lines(spark, sf, "l_quantity").withColumn("rel", F.col("l_quantity") - F.coalesce(F.lag("l_quantity").over(w), F.lit(0.0)))
-    return df.select("l_orderkey", *LINE, "rel", F.sum("rel").over(S.so_far(["l_orderkey"], LINE)).alias("back"))
+    return df.select("l_orderkey", *LINE, "rel", F.sum("rel").over(S.so_far(["l_orderkey"], ORDER)).alias("back"))
 
 
 def argmin_first(spark, sf):
@@ -246,7 +248,7 @@ def set_recall(spark, sf):
 def serialise_roundtrip(spark, sf):
     """Lines of an order as text in tenths, and the sum that the text gives back."""
     item = F.format_string("%d x %d", F.col("l_linenumber"), F.rint(F.col("l_quantity") * 10).cast("bigint"))
-    df = _lines(spark, sf, "l_quantity").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE, item.alias("t")))).alias("rows"))
+    df = _lines(spark, sf, "l_quantity").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*ORDER, item.alias("t")))).alias("rows"))
     text = F.array_join(F.col("rows.t"), " ; ")
     back = F.aggregate(F.split(text, " ; "), F.lit(0).cast("bigint"), lambda a, x: a + F.split(x, " x ")[1].cast("bigint"))
     return df.select("l_orderkey", text.alias("dsl"), (back / 10).alias("total"))
@@ -279,7 +281,7 @@ def verdict_rules(spark, sf):
 
 def layout_facts(spark, sf):
     """Which part of an order stands leftmost (least discount) and rightmost, and whether all are close."""
-    by = _lines(spark, sf, "l_discount").groupBy("l_orderkey").agg(F.min(F.struct("l_discount", *LINE)).alias("a"), F.max(F.struct("l_discount", *LINE)).alias("b"))
+    by = _lines(spark, sf, "l_discount").groupBy("l_orderkey").agg(F.min(F.struct("l_discount", *ORDER)).alias("a"), F.max(F.struct("l_discount", *ORDER)).alias("b"))
     return by.select("l_orderkey", F.col("a.l_partkey").alias("leftmost"), F.col("b.l_partkey").alias("rightmost"), (F.col("b.l_discount") - F.col("a.l_discount") < 0.025).alias("close"))
 
 
@@ -477,7 +479,7 @@ QUERIES = {
 }
 
 _U = "PARTITION BY user_id ORDER BY ts, event_id"
-_L = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey"
+_L = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 _LK = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 ORACLE = {
     "lag_diff": f"SELECT event_id, round(abs(value - lag(value) OVER ({_U})), 6) AS change FROM events",
@@ -520,7 +522,7 @@ ORACLE = {
     "collect_set_sorted": "SELECT label, list_sort(list_distinct(coalesce(flatten(list(problems) FILTER (problems IS NOT NULL)), []))) AS problems FROM out_of_distribution GROUP BY 1",
     "budget_prefix_trim": f"SELECT {_LK}, sum(l_quantity) OVER ({_L} ROWS UNBOUNDED PRECEDING) AS used FROM lineitem QUALIFY used <= 60",
     "same_as_first": f"SELECT {_LK} FROM lineitem QUALIFY l_returnflag = first_value(l_returnflag) OVER ({_L})",
-    "relative_roundtrip": f"""SELECT {_LK}, rel, sum(rel) OVER ({_L} ROWS UNBOUNDED PRECEDING) AS back FROM (SELECT {_LK}, l_quantity - coalesce(lag(l_quantity) OVER ({_L}), 0) AS rel FROM lineitem)""",
+    "relative_roundtrip": f"""SELECT {_LK}, rel, sum(rel) OVER ({_L} ROWS UNBOUNDED PRECEDING) AS back FROM (SELECT {_LK}, l_quantity, l_extendedprice, l_quantity - coalesce(lag(l_quantity) OVER ({_L}), 0) AS rel FROM lineitem)""",
     "argmin_first": f"SELECT l_orderkey, l_extendedprice, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey) = 1",
     "ratio_of_sums": "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_extendedprice) / sum(l_quantity), 4) AS price FROM lineitem GROUP BY 1",
     "count_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1",
@@ -529,7 +531,7 @@ ORACLE = {
     "cell_mode": "SELECT l_suppkey, l_quantity AS mode FROM (SELECT l_suppkey, l_quantity, count(*) AS c FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, l_quantity) = 1",
     "contiguous_ids": "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1 HAVING min(l_linenumber) = 1 AND count(DISTINCT l_linenumber) = max(l_linenumber)",
     "set_recall": "SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (l_linenumber BETWEEN 1 AND 4) / 4 AS recall FROM lineitem GROUP BY 1",
-    "serialise_roundtrip": "SELECT l_orderkey, string_agg(l_linenumber || ' x ' || CAST(round_even(l_quantity * 10, 0) AS BIGINT), ' ; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS dsl, sum(CAST(round_even(l_quantity * 10, 0) AS BIGINT)) / 10 AS total FROM lineitem GROUP BY 1",
+    "serialise_roundtrip": "SELECT l_orderkey, string_agg(l_linenumber || ' x ' || CAST(round_even(l_quantity * 10, 0) AS BIGINT), ' ; ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dsl, sum(CAST(round_even(l_quantity * 10, 0) AS BIGINT)) / 10 AS total FROM lineitem GROUP BY 1",
     "validate_rules": """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN n > 7 THEN 'too many lines' END, CASE WHEN d < n THEN 'duplicate line number' END, CASE WHEN q > 45 THEN 'quantity out of range' END,
  CASE WHEN early > 0 THEN 'shipped before ordered' END, CASE WHEN p < 5000 THEN 'total too small' END], lambda x: x IS NOT NULL), '|') AS problems FROM (SELECT o_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d, max(l_quantity) AS q,
  count(*) FILTER (l_shipdate < o_orderdate) AS early, max(o_totalprice) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)""",
@@ -538,7 +540,7 @@ ORACLE = {
     "verdict_rules": """SELECT l_orderkey, CASE WHEN q < 8 OR d >= 0.1 THEN 'NOT-AN-ANIMATION' WHEN q < 15 OR d > 0.06 OR t > 0.07 THEN 'PROMISING' ELSE 'USABLE' END AS verdict,
  array_to_string(list_filter([CASE WHEN q < 8 THEN 'coverage' END, CASE WHEN d >= 0.1 THEN 'warp' END, CASE WHEN q < 15 THEN 'coverage' END, CASE WHEN d > 0.06 THEN 'warp' END, CASE WHEN t > 0.07 THEN 'flicker' END], lambda x: x IS NOT NULL), '|') AS why
  FROM (SELECT l_orderkey, avg(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1)""",
-    "layout_facts": """SELECT l_orderkey, list(l_partkey ORDER BY l_discount, l_linenumber, l_partkey, l_suppkey)[1] AS leftmost, list(l_partkey ORDER BY l_discount, l_linenumber, l_partkey, l_suppkey)[-1] AS rightmost, max(l_discount) - min(l_discount) < 0.025 AS close FROM lineitem GROUP BY 1""",
+    "layout_facts": """SELECT l_orderkey, list(l_partkey ORDER BY l_discount, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)[1] AS leftmost, list(l_partkey ORDER BY l_discount, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)[-1] AS rightmost, max(l_discount) - min(l_discount) < 0.025 AS close FROM lineitem GROUP BY 1""",
     "hex_rgb": "SELECT p_partkey, printf('#%02X%02X%02X', p_size * 5, 255 - p_size, (p_size * 37) % 256) AS colour, [p_size * 5, 255 - p_size, (p_size * 37) % 256] AS rgb FROM part",
     "string_basics": "SELECT p_partkey, upper(p_name) AS upper_name, starts_with(p_name, 'red') AS is_red, replace(p_name, ' ', '_') AS slug, substr(p_name, 1, 6) AS head, contains(p_name, 'ring') AS has_ring FROM part",
     "format_pct": "SELECT o_orderpriority, (w // 10) || '.' || (w % 10) || '%' AS pct FROM (SELECT o_orderpriority, CAST(round_even(count(*) FILTER (o_orderstatus = 'F') / count(*) * 1000, 0) AS BIGINT) AS w FROM orders GROUP BY 1)",

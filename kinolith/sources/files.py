@@ -25,8 +25,8 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str, row
 
 
 def schema_probe(df: DataFrame, column: str) -> str:
-    """Schema of the JSON texts of a column, as DDL; merged over all rows."""
-    return df.agg(F.schema_of_json_agg(column)).first()[0]
+    """Schema of the JSON texts of a column, merged over all rows; texts that are no JSON are left out."""
+    return df.agg(F.schema_of_variant_agg(F.try_parse_json(column))).first()[0]
 
 
 def write_shards(df: DataFrame, path: str, shard: str) -> None:
