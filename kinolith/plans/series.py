@@ -567,7 +567,7 @@ ORACLE = {
     "math_round_even": f"SELECT {_LK}, round_even(l_quantity / 2, 0) AS rounded, floor(l_quantity / 2) AS lower, ceil(l_quantity / 2) AS upper, CAST(sign(l_quantity / 2 - 10) AS DOUBLE) AS side FROM lineitem",
     "math_mod_fmod": "SELECT event_id, x - 7 * floor(x / 7) AS mod_pos, x + 7 * floor(x / -7) AS mod_neg, x - 7 * trunc(x / 7) AS fmod FROM (SELECT event_id, floor(value) - 20.0::DOUBLE AS x FROM events)",
     "math_clip_where": f"SELECT {_LK}, greatest(least(l_quantity, 40), 10) AS clipped, CASE WHEN l_discount > 0.05 THEN l_quantity ELSE -l_quantity END AS chosen FROM lineitem",
-    "math_shape_fns": "SELECT event_id, round(exp(-0.5 * ((value - 20) / (5 + 1e-12)) ** 2), 6) AS gauss, CASE WHEN value - 8 * floor(value / 8) < 2 THEN 1.0 ELSE 0.0 END AS pulse, round(t * t * (3 - 2 * t), 6) AS ramp FROM (SELECT *, greatest(least((value - 5) / 30, 1), 0) AS t FROM events)",
+    "math_shape_fns": "SELECT event_id, round(exp(-0.5 * ((value - 20) / (5 + 1e-12)) ** 2), 6) AS gauss, CASE WHEN value - 8 * floor(value / 8) < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pulse, round(t * t * (3 - 2 * t), 6) AS ramp FROM (SELECT *, greatest(least((value - 5) / 30, 1), 0) AS t FROM events)",
     "colormap_lerp": "SELECT event_id, CAST(floor(CASE WHEN v < 15 THEN v / 15 * 110 + 10 WHEN v < 40 THEN (v - 15) / 25 * 130 + 120 ELSE 250 END) AS INTEGER) AS level FROM (SELECT event_id, greatest(least(value, 40), 0) AS v FROM events)",
     "fourier_features": "SELECT event_id, list_transform([sin(a), cos(a), sin(2 * a), cos(2 * a), sin(3 * a), cos(3 * a)], lambda x: round(x, 6) + 0.0) AS features FROM (SELECT event_id, value / 50 * 2 * pi() AS a FROM events)",
     "expr_eval": f"SELECT {_LK}, round(v - 7 * floor(v / 7), 6) AS value FROM (SELECT *, CASE WHEN l_quantity > 25 THEN l_quantity * (1 - l_discount) ELSE greatest(l_quantity, 10) + 2 * sin(pi() * l_discount) END AS v FROM lineitem)",
