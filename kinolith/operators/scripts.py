@@ -164,6 +164,21 @@ def list_patch(old: list, steps: list[tuple]) -> list:
     return out
 
 
+def one_action(timeline: str) -> Column:
+    """The timeline with every action replaced by the first one."""
+    return F.transform(timeline, lambda e: e.withField("act", F.get(F.col(timeline), 0)["act"]))
+
+
+def diff_report(pair: str) -> str:
+    """Of a JSON pair of lists a and b: the number of steps between them, and whether they lead from a to b."""
+    import json
+
+    both = json.loads(pair)
+    a, b = both.get("a") or [], both.get("b") or []
+    steps = list_diff(a, b)
+    return json.dumps({"steps": len(steps), "ok": list_patch(a, steps) == b})
+
+
 def map_texts(df: DataFrame, key: str, text: str, function, name: str) -> DataFrame:
     """``function`` on every text, batch by batch in Arrow; null stays null."""
 

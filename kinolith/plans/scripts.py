@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from kinolith.functions.text import tokens
 from kinolith.operators import scenes, scripts as S
-from kinolith.operators import series
+from kinolith.operators import series, vectors
+from kinolith.plans.scenes import _TRAIN
 from kinolith.sources.tables import table
 
 
@@ -117,11 +118,37 @@ def arc_resample(spark, sf):
     return S.map_arrays(df, "vec_id", "v", flat, "points")
 
 
+def shared_action(spark, sf):
+    """Training scenes in which everybody does what is done first: how many events change."""
+    df = scenes.parse(table(spark, sf, "scene_train", "pair_id", "dsl"), "dsl").where("parse_error IS NULL")
+    same = S.one_action("timeline")
+    changed = F.size(F.filter(F.zip_with("timeline", same, lambda a, b: a["act"] != b["act"]), lambda x: x))
+    return df.select("pair_id", F.get(same, 0)["act"].alias("act"), changed.cast("bigint").alias("n_changed"))
+
+
+def list_diff_patch(spark, sf):
+    """Steps from each training scene to the next of its origin, and whether they lead there."""
+    w = Window.partitionBy("origin").orderBy("pair_id")
+    df = table(spark, sf, "scene_train", "pair_id", "origin", "dsl").where("dsl IS NOT NULL")
+    pairs = df.withColumn("pair", F.to_json(F.struct(F.split(F.lag("dsl").over(w), " ").alias("a"), F.split("dsl", " ").alias("b"))))
+    out = S.map_texts(pairs, "pair_id", "pair", S.diff_report, "report")
+    return out.select("pair_id", F.get_json_object("report", "$.steps").cast("int").alias("n_steps"), F.get_json_object("report", "$.ok").cast("boolean").alias("ok"))
+
+
+def farthest_point(spark, sf):
+    """Four label centres far from each other, by greedy max-min; the centres are as few as the labels."""
+    df = table(spark, sf, "embeddings", "label", "embedding")
+    centres = vectors.centroids(df, "label", "embedding").orderBy("label").collect()
+    chosen = vectors.farthest_points([r.centre for r in centres], 4)
+    return spark.createDataFrame([(k, centres[i].label) for k, i in enumerate(chosen)], "place int, label int")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parse_kv_lines, parse_lines_dispatch, structural_score, frame_replay, delta_encode, budget_trim_rounds, measurable_gate, grouped_error,
-        gen_specs, compile_timeline, grid_cross, curve_points, round_rewrite, space_out, arc_resample,
+        gen_specs, compile_timeline, grid_cross, curve_points, round_rewrite, space_out, arc_resample, shared_action,
+        list_diff_patch, farthest_point,
     )
 }
 
@@ -151,6 +178,7 @@ def _keep(n: int) -> str:
 
 
 ORACLE = {
+    "shared_action": _TRAIN + " SELECT pair_id, t[1][4] AS act, len(list_filter(t, lambda v: v[4] <> t[1][4])) AS n_changed FROM r WHERE err IS NULL",
     "parse_kv_lines": rf"""SELECT doc_id, line_no, CASE WHEN lower(w[1]) IN ('title', 'background', 'duration', 'cast', 'prop', 'size', 'fps') THEN lower(w[1]) ELSE 'timeline' END AS head, len(w) AS n_words
  FROM (SELECT doc_id, line_no, {_tok("regexp_replace(line, '#.*$', '')")} AS w FROM ({_LINES})) WHERE len(w) > 0 AND (lower(w[1]) IN ('title', 'background', 'duration', 'cast', 'prop', 'size', 'fps') OR regexp_full_match(w[1], '\d+(\.\d+)?'))""",
     "parse_lines_dispatch": _OPS + " SELECT doc_id, line_no, frame, seq, kind, shape, array_to_string(args, ' ') AS args FROM ops",

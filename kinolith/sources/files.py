@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -60,3 +64,51 @@ def text_table(df: DataFrame, rows: int = 1000) -> str:
     number = [t.startswith(("int", "bigint", "double", "float", "decimal", "smallint")) for _, t in df.dtypes]
     line = lambda r: "  ".join(v.rjust(w) if right else v.ljust(w) for v, w, right in zip(r, wide, number)).rstrip()
     return "\n".join([line(df.columns), *map(line, held)])
+
+
+def replayed(open_shard: Callable[[], Iterable[str]], retries: int = 6, base: float = 3.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """Lines of a shard over a connection that may drop: it is opened again and the lines seen are skipped.
+
+    The n-th wait takes base x 2^n seconds, ``most`` at most; progress starts the count anew. A refused
+    permission ends at once, as does the last failed attempt.
+    """
+    done, attempt = 0, 0
+    while True:
+        try:
+            for i, line in enumerate(open_shard()):
+                if i >= done:
+                    done, attempt = i + 1, 0
+                    yield line
+            return
+        except PermissionError:
+            raise
+        except OSError:
+            if attempt >= retries:
+                raise
+            sleep(min(most, base * 2**attempt))
+            attempt += 1
+
+
+def remote_lines(shards: DataFrame, name: str, open_shard: Callable[[str], Iterable[str]], batch: int = 1000, **how: float) -> DataFrame:
+    """Lines of the named shards: shard, line_no (from 1), line; one shard is read by one task, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names in batches:
+            for shard in names.column(0).to_pylist():
+                held: list[str] = []
+                first = 1
+                for line in replayed(lambda: open_shard(shard), **how):  # noqa: B023
+                    held.append(line)
+                    if len(held) == batch:
+                        yield _numbered(shard, first, held)
+                        first, held = first + batch, []
+                yield _numbered(shard, first, held)
+
+    listed = shards.select(name)
+    return listed.repartition(name).mapInArrow(run, "shard string, line_no bigint, line string")
+
+
+def _numbered(shard: str, first: int, lines: list[str]) -> pa.RecordBatch:
+    n = len(lines)
+    columns = [pa.array([shard] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "line_no", "line"])

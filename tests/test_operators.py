@@ -127,6 +127,31 @@ def test_places_points_lists_and_numbers():
     assert scripts.rounded_numbers("M 1.25 -0.04 2.675 x7", 1) == "M 1.2 0 2.7 x7"
 
 
+def test_dropped_connections_are_replayed_without_loss_or_repeat(spark):
+    waits, opened = [], []
+
+    def flaky():
+        opened.append(1)
+        for i in range(10):
+            if i == 3 * len(opened) and len(opened) < 4:
+                raise ConnectionError
+            yield f"line {i}"
+
+    assert list(files.replayed(flaky, sleep=waits.append)) == [f"line {i}" for i in range(10)]
+    assert len(opened) == 4 and waits == [3.0, 3.0, 3.0]
+
+    def dead():
+        raise ConnectionError
+        yield
+
+    with pytest.raises(ConnectionError):
+        list(files.replayed(dead, retries=3, sleep=waits.append))
+    assert waits[3:] == [3.0, 6.0, 12.0]
+    shards = spark.createDataFrame([("a",), ("b",)], "name string")
+    got = files.remote_lines(shards, "name", lambda shard: (f"{shard}{i}" for i in range(2500)), batch=1000)
+    assert got.count() == 5000 and got.where("line = 'b2499'").first().line_no == 2500
+
+
 def test_ingestion_resumes_and_adds_only_what_is_new(spark):
     path, folder = scratch_path(spark, "in"), scratch_path(spark, "out")
     step = lambda df: df.withColumn("y", F.col("x") * 2)
