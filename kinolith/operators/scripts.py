@@ -164,6 +164,26 @@ def list_patch(old: list, steps: list[tuple]) -> list:
     return out
 
 
+def scheduled(busy: list[tuple[int, int]], draws: list[float], span: int) -> list[tuple[int, int]]:
+    """Windows in tenths that keep clear of the busy ones and of each other, up to ``span``.
+
+    ``draws`` are numbers in [0, 1): the first is the start (up to 1.2 seconds), then every window takes
+    one for its length (1.4 to 2.8 seconds) and one for the pause behind it (0.1 to 1.1 seconds). A
+    window that meets a busy one starts 0.3 seconds after its end. The first that would end after
+    ``span`` ends the row.
+    """
+    at, out = int(draws[0] * 12), []
+    for length, pause in zip(draws[1::2], draws[2::2]):
+        long = 14 + int(length * 15)
+        while hit := max((e for s, e in busy if at < e and s < at + long), default=None):
+            at = hit + 3
+        if at + long > span:
+            break
+        out.append((at, at + long))
+        at += long + 1 + int(pause * 11)
+    return out
+
+
 def one_action(timeline: str) -> Column:
     """The timeline with every action replaced by the first one."""
     return F.transform(timeline, lambda e: e.withField("act", F.get(F.col(timeline), 0)["act"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from kinolith.functions.text import tokens
+from kinolith.functions.text import hash_bucket, tokens
 from kinolith.operators import scenes, scripts as S
 from kinolith.operators import series, vectors
 from kinolith.plans.scenes import _TRAIN
@@ -135,6 +135,22 @@ def list_diff_patch(spark, sf):
     return out.select("pair_id", F.get_json_object("report", "$.steps").cast("int").alias("n_steps"), F.get_json_object("report", "$.ok").cast("boolean").alias("ok"))
 
 
+def gap_schedule(spark, sf):
+    """Three more windows for every training scene, clear of its kicks."""
+    df = scenes.parse(table(spark, sf, "scene_train", "pair_id", "dsl"), "dsl").where("parse_error IS NULL")
+    kicks = F.filter("timeline", lambda e: e["act"] == "kick")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: hash_bucket(F.concat_ws(":", F.col("pair_id").cast("string"), i.cast("string"))) / 10_000)
+    packed = F.to_json(F.struct(F.transform(kicks, lambda e: F.array(e["s"], e["e"])).alias("busy"), draws.alias("draws"), F.col("dur").alias("span")))
+
+    def plan(text: str) -> str:
+        import json
+
+        row = json.loads(text)
+        return json.dumps(S.scheduled([(int(a), int(b)) for a, b in row["busy"]], row["draws"], int(row["span"])))
+
+    return S.map_texts(df.select("pair_id", packed.alias("row")), "pair_id", "row", plan, "windows")
+
+
 def farthest_point(spark, sf):
     """Four label centres far from each other, by greedy max-min; the centres are as few as the labels."""
     df = table(spark, sf, "embeddings", "label", "embedding")
@@ -148,7 +164,7 @@ QUERIES = {
     for f in (
         parse_kv_lines, parse_lines_dispatch, structural_score, frame_replay, delta_encode, budget_trim_rounds, measurable_gate, grouped_error,
         gen_specs, compile_timeline, grid_cross, curve_points, round_rewrite, space_out, arc_resample, shared_action,
-        list_diff_patch, farthest_point,
+        list_diff_patch, farthest_point, gap_schedule,
     )
 }
 

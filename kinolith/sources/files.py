@@ -57,6 +57,19 @@ def write_report(df: DataFrame, path: str, **facts: object) -> None:
     df.withColumns({k: F.lit(v) for k, v in facts.items()}).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_frames(df: DataFrame, path: str, position: str, sample: int) -> None:
+    """All frames as JSON lines below ``path``/frames, and about ``sample`` of them, evenly spread by their
+    position, as readable text below ``path``/text.
+    """
+    df.write.mode("overwrite").json(f"{path}/frames")
+    n = df.agg(F.max(position)).first()[0]
+    if sample and n is not None:
+        step = max(1, (n + 1) // sample)
+        lines = [F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns if c != position]
+        text = F.concat_ws("\n", F.concat(F.lit("--- frame "), F.col(position).cast("string"), F.lit(" ---")), *lines)
+        df.where(F.pmod(position, F.lit(step)) == 0).select(text.alias("value")).write.mode("overwrite").text(f"{path}/text")
+
+
 def text_table(df: DataFrame, rows: int = 1000) -> str:
     """A report of at most ``rows`` rows as a fixed-width text; numbers to the right, texts to the left."""
     held = [[("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in df.take(rows)]

@@ -152,6 +152,16 @@ def test_dropped_connections_are_replayed_without_loss_or_repeat(spark):
     assert got.count() == 5000 and got.where("line = 'b2499'").first().line_no == 2500
 
 
+def test_schedule_keeps_clear_of_busy_windows():
+    rng = random.Random(2)
+    for _ in range(200):
+        busy = [(a := rng.randint(0, 150), a + rng.randint(1, 40)) for _ in range(rng.randint(0, 4))]
+        out = scripts.scheduled(busy, [rng.random() for _ in range(7)], 200)
+        assert all(14 <= e - s <= 28 and e <= 200 for s, e in out)
+        assert all(e <= s2 or e2 <= s for s, e in out for s2, e2 in busy)
+        assert all(a[1] < b[0] for a, b in zip(out, out[1:]))
+
+
 def test_ingestion_resumes_and_adds_only_what_is_new(spark):
     path, folder = scratch_path(spark, "in"), scratch_path(spark, "out")
     step = lambda df: df.withColumn("y", F.col("x") * 2)
@@ -178,6 +188,9 @@ def test_files(spark):
     assert sorted(r.i for r in files.json_lines(spark, path, "i int, s string").collect()) == [1, 2, 3]
     files.write_report(df, f"{path}-report", seed=7)
     assert {r.seed for r in spark.read.json(f"{path}-report").collect()} == {7}
+    files.write_frames(spark.range(20).selectExpr("id AS frame", "id * 2 AS x"), f"{path}-frames", "frame", 4)
+    assert spark.read.json(f"{path}-frames/frames").count() == 20
+    assert sum(r.value.startswith("--- frame") for r in spark.read.text(f"{path}-frames/text").collect()) == 4
     assert files.text_table(df) == "i  s\n1  a\n2  b"
     probe = files.schema_probe(spark.createDataFrame([('{"a": 1}',), ('{"b": "x"}',)], "j string"), "j")
     assert "a" in probe and "b" in probe
