@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -42,12 +43,14 @@ def load_vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> dict:
         model = json.load(file)["model"]
     ids = model["vocab"]
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return {
+    found = {
         "bytes": array("i", [ids[c] for c in byte_alphabet()]),
         "left": array("i", [ids[a] for a, _ in merges]),
         "right": array("i", [ids[b] for _, b in merges]),
         "merged": array("i", [ids[a + b] for a, b in merges]),
     }
+    found["key"] = f"{folder}/{name}/{zlib.crc32(b''.join(x.tobytes() for x in found.values()))}"
+    return found
 
 
 class RankQueue:
@@ -185,22 +188,22 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(broadcast) -> Encoder:
-    """The worker's encoder of a broadcast vocabulary."""
-    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
-    if key not in _ENCODERS:
+    """The worker's encoder of a broadcast vocabulary, known by the vocabulary's own name and content."""
+    vocabulary = broadcast.value
+    if vocabulary["key"] not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(broadcast.value)
-    return _ENCODERS[key]
+        _ENCODERS[vocabulary["key"]] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary["key"]]
 
 
 def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """doc_id and ids (array<int>) of every document, without special tokens.
 
-    Null and empty texts have the empty list. Each row is encoded on its own, so repeated ids or
+    Null and empty texts have the empty list. The strings of special tokens are ordinary text. Each row is encoded on its own, so repeated ids or
     texts keep their rows; texts of any length are encoded whole; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load_vocabulary(folder, name))

@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinolith.functions.clean import epoch_micros, strip_invisible
 from kinolith.session import scratch_path
+from kinolith.streaming.ingest import stream_of
 
 #: Microseconds of a state's time slot, and for how long a repeated text is no further turn.
 SLOT, REPEAT = 3_600_000_000, 2_000_000
@@ -153,9 +154,7 @@ def _mark_folder(spark: SparkSession) -> str:
 
 def message_stream(spark: SparkSession, path: str) -> DataFrame:
     """The messages under ``path`` (a parquet file or folder) as a stream."""
-    schema = spark.read.parquet(path).select(*_COLUMNS).schema
-    # as a glob, the path may also name a single file
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return stream_of(spark, path, *_COLUMNS)
 
 
 def _run(stream: DataFrame, folder: str, name: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from kinolith.llm import bpe
 
 SF = "/root/testdata/sf0.001"
 PUBLIC = "/opt/tokenizers/byte_bpe_50k.json"
@@ -59,3 +60,15 @@ def test_fill_report_covers_all_tokens(spark, public):
     assert all(r.n_tokens == total and 0 < r.fill <= 1 for r in rows)
     report = entry.queries()["p6_token_report"](spark, SF)
     assert report.agg(F.sum("n_tokens"), F.sum("n_docs")).first()[:] == (total, len(texts))
+
+
+def test_special_strings_odd_texts_and_long_pieces(spark):
+    own = Tokenizer.from_file(PUBLIC)
+    own.encode_special_tokens = True
+    texts = ["<|endoftext|> a", "", " ", "\n\n  x", "棒人間が踊る 🎬👍🏽", "e\u0301 ＠ \u200b", "a" * 50_000, "ab" * 20_000 + " 12345678901234567890"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (99, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit(1))
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.ids) for r in bpe.token_ids(df).collect())
+    want = sorted((i if i is not None else -1, own.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
+    assert found == want
+    assert bpe.token_ids(df.where("doc_id < 0")).collect() == []
