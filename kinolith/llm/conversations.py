@@ -197,9 +197,9 @@ def segments(messages: DataFrame, n_buckets: int, contents: bool, folder: str, c
     first = first.withColumn("slot", F.explode(F.when(near, F.array(slot, slot + 1)).otherwise(F.array(slot))))
     # every message beside a mark: the marks move the watermark and go no further
     no_mark = F.lit(None).cast("timestamp")
-    both = first.select("*", F.explode(F.array(no_mark, F.timestamp_micros("t"))).alias("mark"))
+    pair = F.when(F.col("t").isNull(), F.array(no_mark)).otherwise(F.array(no_mark, F.timestamp_micros("t")))
+    marked = first.select("*", F.explode(pair).alias("mark"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in first.schema.fields]
-    marked = both.where("mark IS NULL OR t IS NOT NULL")
     if close:
         marks = spark.readStream.schema("mark timestamp").parquet(_mark_folder(spark)).select(*empty, "mark")
         marked = marked.unionByName(marks)
@@ -225,7 +225,7 @@ def _stitched(found: DataFrame) -> DataFrame:
         .groupBy("chat_id")
         .agg(
             F.sum("n_turns").alias("n_turns"),
-            F.min("flaw").alias("flaw"),
+            F.max("flaw").alias("flaw"),  # no time before no role before no alternation
             F.min("joint").alias("joint"),
             F.max("first").alias("first"),
             F.max("last").alias("last"),
@@ -269,7 +269,8 @@ def rebuild(spark: SparkSession, path: str, contents: bool = False) -> DataFrame
 def verdicts(found: DataFrame, messages: DataFrame, chats: DataFrame) -> DataFrame:
     """Every chat of ``chats`` or ``messages``: chat_id, n_turns, flaw; flaw is null where it is sound.
 
-    flaw: empty (no turns), no time, no role, no alternation, no request first, no reply last.
+    flaw, the first that holds: empty (no turns), no time, no role, no alternation, no request first, no
+    reply last.
     Null chat ids name no chat. Blank and null contents and system rows are no turns; rows of one id
     count once, at their earliest known time; a text repeated by its speaker within two seconds is no
     further turn. Rows without an id are told apart by their contents. Empty tables give no rows.

@@ -126,9 +126,28 @@ _TRUNCATED = r"""WITH o AS (SELECT 'out_of_distribution' AS src_table, row_id, l
    AND EXISTS (SELECT 1 FROM v WHERE starts_with(v.x, e.w[-1]) AND v.x <> e.w[-1] AND v.n > 20 * coalesce(own.n, 0) AND v.n > 2)))
 """
 
+#: Twin of p3: one batch of windows, without states, hours or segments.
+_EDGES = r"'^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$'"
+_CHATS = f"""WITH m AS (SELECT coalesce(id, md5(concat_ws('|', chat_id, role, content, created))) AS id, chat_id, lower(regexp_replace(role, {_EDGES}, '', 'g')) AS r,
+   regexp_replace(content, {_EDGES}, '', 'g') AS content, CASE WHEN isnan(created) OR abs(created) >= 9e18 THEN NULL WHEN abs(created) >= 1e17 THEN round(created / 1e3)
+   WHEN abs(created) >= 1e14 THEN round(created) WHEN abs(created) >= 1e11 THEN round(created * 1e3) ELSE round(created * 1e6) END AS t FROM messages),
+ n AS (SELECT * EXCLUDE (r), CASE WHEN r IN ('user', 'usr', 'human') THEN 'user' WHEN r IN ('assistant', 'asst', 'bot', 'ai', 'model') THEN 'assistant' WHEN r IN ('system', 'sys') THEN 'system' END AS speaker FROM m),
+ d AS (SELECT * FROM n WHERE chat_id IS NOT NULL AND content <> '' AND coalesce(speaker, '') <> 'system' QUALIFY row_number() OVER (PARTITION BY id ORDER BY t NULLS LAST) = 1),
+ k AS (SELECT *, t - lag(t) OVER (PARTITION BY chat_id, speaker, content ORDER BY t) AS since FROM d WHERE t IS NOT NULL UNION ALL SELECT *, NULL FROM d WHERE t IS NULL),
+ w AS (SELECT *, row_number() OVER o AS turn_no, lag(speaker) OVER o AS before, count(*) OVER (PARTITION BY chat_id) AS n_turns FROM k WHERE since IS NULL OR since > 2000000
+   WINDOW o AS (PARTITION BY chat_id ORDER BY t NULLS LAST, coalesce(speaker, '') <> 'user', coalesce(speaker, ''), content, id)),
+ j AS (SELECT chat_id, count(*) AS n_turns, CASE WHEN bool_or(t IS NULL) THEN 'no time' WHEN bool_or(speaker IS NULL) THEN 'no role' WHEN bool_or(speaker = before) THEN 'no alternation'
+   WHEN max(speaker) FILTER (turn_no = 1) <> 'user' THEN 'no request first' WHEN max(speaker) FILTER (turn_no = n_turns) <> 'assistant' THEN 'no reply last' END AS flaw FROM w GROUP BY 1),
+ c AS (SELECT chat_id, coalesce(n_turns, 0) AS n_turns, CASE WHEN n_turns IS NULL THEN 'empty' ELSE flaw END AS flaw
+   FROM (SELECT chat_id FROM messages WHERE chat_id IS NOT NULL UNION SELECT id FROM chats WHERE id IS NOT NULL) LEFT JOIN j USING (chat_id))
+"""
+
 #: The merges, sweeps and similarities have no SQL twin; the tests compare with the public
 #: tokenizer and with brute force.
 ORACLE: dict = {
+    "p3_found": _CHATS + "SELECT chat_id FROM c WHERE flaw IS NOT NULL",
+    "p3_flaws": _CHATS + "SELECT flaw, count(*) AS n_chats, CAST(sum(n_turns) AS BIGINT) AS n_turns FROM c GROUP BY 1",
+    "p3_conversations": _CHATS + "SELECT chat_id, turn_no, speaker, CAST(t AS BIGINT) AS at_micros, content FROM w WHERE chat_id IN (SELECT chat_id FROM c WHERE flaw IS NULL)",
     "p4_found": _TRUNCATED + "SELECT DISTINCT src_table, row_id FROM k",
     "p4_rates": _TRUNCATED
     + """SELECT src_table, source, count(*) AS n_outputs, count(k.row_id) AS n_truncated,
