@@ -1,11 +1,11 @@
 """Filling containers of fixed capacity: bulk-synchronous best fit.
 
 Documents and gaps are range-sorted by size, and all of one size are one class with a count, so a
-capacity has no more classes of either kind than tokens. A round is one job over the classes of all
-capacities: a sweep from the largest size down gives every item class its successors, the smallest
-gaps that hold it and that no larger item has taken; conflicts go by rank, larger sizes first, then
-by rank in the class. Then the gaps are updated, and the next round sweeps again. Where nothing
-fits, as many containers open as the rest needs at least.
+capacity has no more classes of either kind than tokens. In a round, a sweep from the largest size
+down gives every item class its successors, the smallest gaps that hold it and that no larger item
+has taken; conflicts go by rank, larger sizes first, then by rank in the class. Then the gaps are
+updated, and the next round sweeps again. Each capacity has its own task, which sweeps until nothing
+fits; then as many containers open as the rest needs at least, in another job.
 
 Members of a class are told apart by their rank alone. What a round decides are ranges of ranks: so
 many containers of a gap class take so many items each of a size class and become the members of
@@ -30,7 +30,7 @@ RANK_PARTS = 64
 SPREAD = 10_000
 
 _CLASSES = "capacity int, is_gap boolean, value int, n bigint, first_rank bigint"
-_MOVES = "capacity int, gap int, gap_rank bigint, n bigint, size int, each int, size_rank bigint, new_gap int, new_rank bigint"
+_MOVES = "capacity int, round int, gap int, gap_rank bigint, n bigint, size int, each int, size_rank bigint, new_gap int, new_rank bigint"
 
 
 def sweep(items: list[tuple[int, int, int]], gaps: list[tuple[int, int]]) -> list[tuple]:
@@ -73,79 +73,76 @@ def sweep(items: list[tuple[int, int, int]], gaps: list[tuple[int, int]]) -> lis
     return moves
 
 
+def _apply(items: dict[int, tuple[int, int]], moves: list[tuple]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+    """Items (size: count, next rank) and gaps (gap: count) after the moves of a round."""
+    left, gaps = dict(items), {}
+    for _, _, n, size, each, _, new, _ in moves:
+        gaps[new] = gaps.get(new, 0) + n
+        if size:
+            many, rank = left[size]
+            left[size] = (many - n * each, rank + n * each)
+    return {s: x for s, x in left.items() if x[0]}, gaps
+
+
 def _sweep_group(key: tuple, table: pa.Table) -> pa.Table:
+    """Rounds of one capacity until a sweep places nothing."""
     rows = table.to_pydict()
-    items = [(v, n, r) for v, n, r, g in zip(rows["value"], rows["n"], rows["first_rank"], rows["is_gap"]) if not g]
-    gaps = [(v, n) for v, n, g in zip(rows["value"], rows["n"], rows["is_gap"]) if g]
-    moves = [(key[0].as_py(), *m) for m in sweep(items, gaps)]
+    items = {v: (n, r) for v, n, r, g in zip(rows["value"], rows["n"], rows["first_rank"], rows["is_gap"]) if not g}
+    gaps = {v: n for v, n, g in zip(rows["value"], rows["n"], rows["is_gap"]) if g}
+    found, number = [], 0
+    while items:
+        moves = sweep([(s, n, r) for s, (n, r) in items.items()], list(gaps.items()))
+        if not any(m[3] for m in moves):
+            break
+        found += [(key[0].as_py(), number, *m) for m in moves]
+        items, gaps = _apply(items, moves)
+        number += 1
     names = [x.split()[0] for x in _MOVES.split(", ")]
     kinds = [pa.int32() if x.split()[1] == "int" else pa.int64() for x in _MOVES.split(", ")]
-    return pa.Table.from_arrays([pa.array([m[i] for m in moves], k) for i, k in enumerate(kinds)], names=names)
+    return pa.Table.from_arrays([pa.array([m[i] for m in found], k) for i, k in enumerate(kinds)], names=names)
 
 
-def plan_rounds(spark: SparkSession, counts: dict[int, dict[int, int]]) -> tuple[list[list[tuple]], dict[int, list[tuple]]]:
-    """Moves of every round, and per capacity the openings (round, first container, count).
+def plan_rounds(spark: SparkSession, counts: dict[int, dict[int, int]]) -> tuple[dict[int, list[list[tuple]]], dict[int, list[tuple]]]:
+    """Per capacity the moves of every round, and the openings (round, gap, first container, count).
 
-    ``counts``: items of each size, for each capacity. The driver passes the classes from round to
-    round: at most a count for every size and gap up to the capacity (and a few sizes above it).
+    ``counts``: items of each size, for each capacity. The driver opens containers and passes the
+    classes on: at most a count for every size and gap up to the capacity (and a few sizes above it).
     """
     items = {c: {s: (n, 0) for s, n in sizes.items() if s > 0 and n > 0} for c, sizes in counts.items()}
     gaps: dict[int, dict[int, int]] = {c: {} for c in counts}
     opened = {c: 0 for c in counts}
     openings: dict[int, list[tuple]] = {c: [] for c in counts}
-    rounds: list[list[tuple]] = []
-    stuck = {c: True for c in counts}
+    rounds: dict[int, list[list[tuple]]] = {c: [] for c in counts}
     while any(items.values()):
         rows = []
         for c, left in items.items():
-            if not left:
-                continue
-            if stuck[c]:
-                # sizes above the capacity are single characters; each gets a container of its own size
-                over = {s: n for s, (n, _) in left.items() if s > c}
-                for s, n in over.items():
-                    openings[c].append((len(rounds), s, opened[c], n))
-                    gaps[c][s] = gaps[c].get(s, 0) + n
-                    opened[c] += n
-                total = sum(s * n for s, (n, _) in left.items() if s <= c)
-                if total:
-                    k = -(-total // c)
-                    openings[c].append((len(rounds), c, opened[c], k))
-                    gaps[c][c] = gaps[c].get(c, 0) + k
-                    opened[c] += k
+            # sizes above the capacity are single characters; each gets a container of its own size
+            need = [(s, n) for s, (n, _) in sorted(left.items()) if s > c]
+            total = sum(s * n for s, (n, _) in left.items() if s <= c)
+            for value, n in need + [(c, -(-total // c))] * (total > 0):
+                openings[c].append((len(rounds[c]), value, opened[c], n))
+                gaps[c][value] = gaps[c].get(value, 0) + n
+                opened[c] += n
             rows += [(c, False, s, n, r) for s, (n, r) in left.items()]
-            rows += [(c, True, g, n, 0) for g, n in gaps[c].items()]
+            rows += [(c, True, g, n, 0) for g, n in gaps[c].items()] if left else []
         classes = spark.createDataFrame(rows, _CLASSES).repartition(len(counts), "capacity").sortWithinPartitions("capacity", F.desc("value"))
-        moves = [tuple(r) for r in classes.groupBy("capacity").applyInArrow(_sweep_group, _MOVES).collect()]
-        rounds.append(moves)
-        for c, left in items.items():
-            if not left:
-                continue
-            placed = 0
-            gaps[c] = {}
-            for _, _, _, n, size, each, _, new, _ in (m for m in moves if m[0] == c):
-                gaps[c][new] = gaps[c].get(new, 0) + n
-                if size:
-                    many, rank = left[size]
-                    left[size] = (many - n * each, rank + n * each)
-                    placed += n
-            items[c] = {s: x for s, x in left.items() if x[0]}
-            # open again where a sweep placed nothing, or nothing that is left can be placed
-            stuck[c] = not placed or not items[c] or max(gaps[c], default=0) < min(items[c], default=0)
+        made: dict[tuple[int, int], list[tuple]] = {}
+        for c, number, *move in classes.groupBy("capacity").applyInArrow(_sweep_group, _MOVES).collect():
+            made.setdefault((c, number), []).append(tuple(move))
+        for c, number in sorted(made):
+            rounds[c].append(made[c, number])
+            items[c], gaps[c] = _apply(items[c], made[c, number])
     return rounds, openings
 
 
-def follow(rounds: list[list[tuple]], capacity: int, born: np.ndarray, gap: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def follow(rounds: list[list[tuple]], born: np.ndarray, gap: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(container index, size, size rank) of every item that the given containers take.
 
     ``born``: the round before which a container opens; ``gap`` and ``rank``: its class at that time.
     """
     gap, rank = gap.copy(), rank.copy()
     for number, moves in enumerate(rounds):
-        own = sorted(m[1:] for m in moves if m[0] == capacity)
-        if not own:
-            continue
-        table = np.array(own, np.int64)
+        table = np.array(sorted(moves), np.int64)
         alive = np.flatnonzero(born <= number)
         wide = 1 << 40
         at = np.searchsorted(table[:, 0] * wide + table[:, 1], gap[alive] * wide + rank[alive], "right") - 1
@@ -158,13 +155,13 @@ def follow(rounds: list[list[tuple]], capacity: int, born: np.ndarray, gap: np.n
         gap[alive], rank[alive] = m[:, 6], m[:, 7] + inside
 
 
-def containers(spark: SparkSession, rounds: list[list[tuple]], openings: dict[int, list[tuple]]) -> DataFrame:
+def containers(spark: SparkSession, rounds: dict[int, list[list[tuple]]], openings: dict[int, list[tuple]]) -> DataFrame:
     """capacity, n_tokens, rank, container_id of every placed item, made by the containers in parallel."""
     # ranks of an opening stand behind the members that its class has at that time
     starts = []
     for c, opens in openings.items():
         for number, value, first, n in opens:
-            before = sum(m[3] for m in rounds[number - 1] if m[0] == c and m[7] == value) if number else 0
+            before = sum(m[2] for m in rounds[c][number - 1] if m[6] == value) if number else 0
             before += sum(k for r, v, f, k in opens if (r, v) == (number, value) and f < first)
             starts += [(c, number, value, before + i, first + i, min(SPREAD, n - i)) for i in range(0, n, SPREAD)]
     shared = spark.sparkContext.broadcast(rounds)
@@ -174,7 +171,7 @@ def containers(spark: SparkSession, rounds: list[list[tuple]], openings: dict[in
         for batch in batches:
             for c, born, gap, rank, first, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 full = lambda x: np.full(n, x, np.int64)  # noqa: B023, E731
-                for who, size, at in follow(moves, c, full(born), full(gap), rank + np.arange(n)):
+                for who, size, at in follow(moves[c], full(born), full(gap), rank + np.arange(n)):
                     kinds = (np.full(len(who), c, np.int32), size.astype(np.int32), at, first + who)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in kinds], names=["capacity", "n_tokens", "rank", "container_id"])
 

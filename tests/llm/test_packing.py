@@ -41,8 +41,8 @@ def test_rounds_place_everything_about_as_well_as_sequential_best_fit(spark, cap
     rounds, openings = packing.plan_rounds(spark, {capacity: dict(counts)})
     seen, room = set(), Counter()
     for number, value, first, n in openings[capacity]:
-        before = sum(m[3] for m in rounds[number - 1] if m[7] == value) if number else 0
-        for who, size, rank in packing.follow(rounds, capacity, np.full(n, number), np.full(n, value), before + np.arange(n)):
+        before = sum(m[2] for m in rounds[capacity][number - 1] if m[6] == value) if number else 0
+        for who, size, rank in packing.follow(rounds[capacity], np.full(n, number), np.full(n, value), before + np.arange(n)):
             for w, s, r in zip(who.tolist(), size.tolist(), rank.tolist()):
                 assert (s, r) not in seen
                 seen.add((s, r))
