@@ -215,7 +215,8 @@ def ranked_parts(items: DataFrame) -> DataFrame:
     before = Window.partitionBy("capacity", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*klass, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     local = F.row_number().over(Window.partitionBy(*klass).orderBy("row", "part_no")) - 1
-    ranked = items.withColumn("local", local).join(offsets, klass)
+    # a merge join: the offsets have up to RANK_PARTS rows a size, too many to broadcast to every task
+    ranked = items.withColumn("local", local).join(offsets.hint("merge"), klass)
     return ranked.withColumn("rank", F.col("offset") + F.col("local")).drop("part", "local", "offset")
 
 
@@ -247,7 +248,9 @@ def pack(documents: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, name:
     for r in items.groupBy("capacity", "n_tokens").count().collect():
         counts[r.capacity][r.n_tokens] = r["count"]
     rounds, openings = plan_rounds(spark, counts)
-    placed = ranked_parts(items.where("n_tokens > 0")).join(containers(spark, rounds, openings), ["capacity", "n_tokens", "rank"])
+    # a merge join: what the containers take looks small to the planner, yet has a row for every part
+    taken = containers(spark, rounds, openings).hint("merge")
+    placed = ranked_parts(items.where("n_tokens > 0")).join(taken, ["capacity", "n_tokens", "rank"])
     nothing = items.where("n_tokens = 0").withColumn("container_id", F.lit(0).cast("bigint"))
     shape = ["row", "capacity", "part_no", "n_parts", "n_tokens", "from_char", "to_char", "container_id"]
     all_parts = placed.select(*shape).unionByName(nothing.select(*shape))
