@@ -1,7 +1,8 @@
 """References to records that do not exist.
 
-A Bloom filter of the parent keys is broadcast inside the plan; a reference it rejects is a
-definite orphan and never shuffled again. Only the references it lets pass are verified by an
+A Bloom filter of the parent keys is kept as a table of 64-bit blocks, as many as the keys need; no
+part of it passes the driver. A reference meets its block by a join; one that the block rejects is
+a definite orphan and never shuffled again. Only the references it lets pass are verified by an
 exact join with the parents, which also tells parents that are removed or younger.
 """
 
@@ -16,10 +17,9 @@ from kinolith.operators.skew import lookup_join
 from kinolith.session import through_table
 from kinolith.sources.tables import table
 
-#: Upper bound of what is broadcast (64 MB), enough for 44 million parent keys at the full rate of
-#: bits. With more parents the filter lets more references pass to the join, and the result stays exact.
-MAX_BITS = 512 * 1024 * 1024
+#: Bits of the filter a parent key, and those of them that a key sets in its block.
 BITS_PER_KEY = 12
+BITS_SET = 4
 
 
 @dataclass(frozen=True)
@@ -48,25 +48,29 @@ REFERENCES = (
 )
 
 
-def bloom_bytes(keys: DataFrame, column: str, items: int) -> bytes:
-    """Serialised Bloom filter over the xxhash64 of ``column``; built by partial aggregation."""
-    spark = keys.sparkSession
-    hashed = keys.select(F.xxhash64(column).alias("h"))
-    bits = min(MAX_BITS, max(1024, items * BITS_PER_KEY))
-    built = hashed._jdf.stat().bloomFilter("h", max(1, items), bits)
-    out = spark._jvm.java.io.ByteArrayOutputStream()
-    built.writeTo(out)
-    return bytes(out.toByteArray())
+def with_block(df: DataFrame, column: str, items: int) -> DataFrame:
+    """``df`` with the ``block`` of each key in a filter for ``items`` keys."""
+    blocks = max(1, items * BITS_PER_KEY // 64)
+    return df.withColumn("block", F.pmod(F.xxhash64(column), F.lit(blocks)))
 
 
-def might_contain(spark: SparkSession, filter_bytes: bytes, column: str) -> Column:
-    """The JVM's own Bloom filter probe as a Column; the filter travels in the plan."""
-    jvm = spark._jvm
-    expressions = jvm.org.apache.spark.sql.catalyst.expressions
-    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    literal = expressions.Literal(bytearray(filter_bytes), getattr(jvm.org.apache.spark.sql.types, "BinaryType$").__getattr__("MODULE$"))
-    hashed = utils.expression(F.xxhash64(column)._jc)
-    return Column(utils.column(expressions.BloomFilterMightContain(literal, hashed)))
+def key_bits(column: str) -> Column:
+    """The bits that a key sets in its block."""
+    mask = F.lit(0).cast("bigint")
+    for i in range(BITS_SET):
+        place = F.shiftrightunsigned(F.hash(column), 6 * i).bitwiseAND(63)
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    return mask
+
+
+def sieve_table(keys: DataFrame, column: str, items: int) -> DataFrame:
+    """Bloom filter over ``column``: the ``block`` and its bits (``sieve``), blocks without a key left out."""
+    return with_block(keys, column, items).groupBy("block").agg(F.bit_or(key_bits(column)).alias("sieve"))
+
+
+def might_contain(spark: SparkSession, sieve: str, column: str) -> Column:
+    """Whether the block in the column ``sieve`` lets ``column`` pass."""
+    return F.coalesce(F.col(sieve).bitwiseAND(key_bits(column)) == key_bits(column), F.lit(False))
 
 
 def resolve_many(parts: list[tuple[DataFrame, DataFrame, Reference]]) -> DataFrame:
@@ -107,12 +111,13 @@ def resolve_many(parts: list[tuple[DataFrame, DataFrame, Reference]]) -> DataFra
     records = rows.where("record_id is not null").groupBy("code", "record_id").agg(F.min("t").alias("t"), F.collect_set("key").alias("keys"))
     pairs = records.select("record_id", F.explode("keys").alias("key"), "t")
     pairs = pairs.unionByName(rows.where("record_id is null and key is not null").select("record_id", "key", "t"))
-    # read by the search for hot keys and by both branches behind the filter
-    pairs = through_table(pairs, "references")
+    # read by the search for hot blocks and by the probe
+    pairs = through_table(with_block(pairs, "key", n_parents), "references")
     targets = targets.where("key is not null")
 
-    sieve = bloom_bytes(targets, "key", n_parents)
-    probed = pairs.withColumn("maybe", might_contain(spark, sieve, "key"))
+    met = lookup_join(pairs, sieve_table(targets, "key", n_parents), "block")
+    # read by the search for hot keys and by both branches behind the filter
+    probed = through_table(met.select("record_id", "key", "t", might_contain(spark, "sieve", "key").alias("maybe")), "probed")
     definite = probed.where(~F.col("maybe")).select("record_id", "key", "t", F.lit("missing").alias("reason"))
 
     known = targets.groupBy("key").agg(F.min("target_t").alias("target_t"), F.max("removed").alias("removed"))

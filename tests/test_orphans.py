@@ -47,3 +47,14 @@ def test_given_tables_agree_with_the_sql_twin(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     twin = sorted(map(str, con.execute(entry.oracle_sql()[name]).fetchall()))
     assert sorted(str(tuple(r)) for r in entry.queries()[name](spark, sf).collect()) == twin
+
+
+def test_filter_stays_out_of_the_plan_and_rejects_absent_keys(spark):
+    parent = spark.range(200_000).select(orphans.F.concat(orphans.F.lit("k"), "id").alias("id"), orphans.F.lit(JAN).alias("created"))
+    ids = spark.range(190_000, 290_000).select(orphans.F.col("id").cast("string").alias("id"), orphans.F.concat(orphans.F.lit("k"), "id").alias("video_id"))
+    resolved = orphans.resolve(ids.withColumn("created", orphans.F.lit(MAR)), parent, REF)
+    assert len(resolved._jdf.queryExecution().toString()) < 200_000
+    assert resolved.where("is_orphan").count() == 90_000
+    met = orphans.with_block(ids, "video_id", 200_000).join(orphans.sieve_table(parent, "id", 200_000), "block", "left")
+    passed = met.where(orphans.might_contain(spark, "sieve", "video_id")).count()
+    assert 10_000 <= passed < 10_000 + 0.05 * 90_000
