@@ -55,3 +55,29 @@ def test_empty_tables(spark):
     assert O.overlaps(held, train).collect() == []
     assert O.overlaps(spark.createDataFrame([("e", 1, "a b c")], EVAL), train.where("pair_id < 0")).collect() == []
     assert O.overlap_report(O.overlaps(held, train), held).collect() == []
+
+
+def test_common_passages_are_left_out_of_the_count(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)]
+    common = ["somebody with a", "whoever wears the", "boots the ball"]
+    held = [" ".join(common + [rng.choice(words) for _ in range(51)]) for _ in range(300)]
+    shard = O.Shard(held)
+    shard._rare(60 // O.DIFFER)
+    # 20 passages, 6 of which a pair must keep; 3 of these are among the 17 rarest
+    assert len(shard.rare) == 17 * len(held) and len(shard.owner) == 20 * len(held)
+    texts = []
+    for k, p in enumerate(held[:40]):
+        q = p.split()
+        for i in rng.sample(range(60), k % 16):
+            q[i] = rng.choice(words)
+        texts.append(" ".join(q))
+    found = {(i, e) for i, e, _, _ in shard.scan(texts)}
+    assert {(i, i) for i in range(40) if i % 16 <= 12} <= found
+    assert all(O.differing(texts[i].split(), held[e].split()) * 5 <= 60 for i, e in found)
+    train = spark.createDataFrame([(1000 + i, "o", t, 0) for i, t in enumerate(texts)], TRAIN)
+    rows = [("e", e, p) for e, p in enumerate(held)] + [("e", 900, None), ("e", 901, "two words")]
+    # one length fills several shards
+    assert len(O._cuts(O._normalised(spark.createDataFrame(rows[:300], EVAL)), 30_000)) >= 3
+    cut = O.overlaps(spark.createDataFrame(rows, EVAL), train, 60_000, 20_000)
+    assert {(r.pair_id - 1000, r.item_id) for r in cut.collect()} == found
